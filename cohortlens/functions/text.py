@@ -93,10 +93,8 @@ def drivetrain(value: Column) -> Column:
     return lookup(normalize_alias(value), C.DRIVETRAIN_ALIASES)
 
 
-def component(value: Column) -> Column:
-    """Component family by exact root, or root followed by ``:`` or ``,``."""
-    text = F.upper(strip(value))
-    chain = F.when(is_blank(value), "unknown")
+def _family(text: Column) -> Column:
+    chain = F.when(text.isNull() | (text == ""), "unknown")
     for family, roots in C.COMPONENT_ROOTS:
         hit = F.lit(False)
         for root in roots:
@@ -105,9 +103,22 @@ def component(value: Column) -> Column:
     return chain.otherwise("other")
 
 
+def component(value: Column) -> Column:
+    """Component family by exact root, or root followed by ``:`` or ``,``."""
+    return F.element_at(families(F.array(value)), 1)
+
+
+def families(values: Column) -> Column:
+    """Component family of every label in an array.
+
+    The label is prepared in its own step, once, not once per compared root.
+    """
+    return F.transform(F.transform(values, lambda v: F.upper(strip(v))), _family)
+
+
 def component_of_roots(roots: Column) -> Column:
     """Distinct sorted component families of an array of source labels."""
-    return F.array_sort(F.array_distinct(F.transform(roots, component)))
+    return F.array_sort(F.array_distinct(families(roots)))
 
 
 def recall_type(code: Column) -> Column:

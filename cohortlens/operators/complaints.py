@@ -21,7 +21,8 @@ def map_complaints(
     """Parse raw rows; keep every row and say in ``reason`` why it is rejected.
 
     The first failed check wins, in the order the checks are listed. ``detail`` names
-    the field and value that failed. Parsed columns have lower-case names.
+    the field and value that failed. Spark compares column names without case, so no
+    parsed column may differ from a source column by case alone.
     """
     c = F.col
     parsed = raw.withColumns(
@@ -32,8 +33,8 @@ def map_complaints(
             "mileage": text.unsigned(c("MILES")),
             "death_count": text.unsigned(c("DEATHS")),
             "injury_count": text.unsigned(c("INJURED")),
-            "crash": text.yes_no(c("CRASH")),
-            "fire": text.yes_no(c("FIRE")),
+            "crash_observed": text.yes_no(c("CRASH")),
+            "fire_observed": text.yes_no(c("FIRE")),
             "occurrence_date": text.compact_date(c("FAILDATE")),
             "report_date": text.compact_date(c("LDATE")),
             "_drivetrain": text.lookup(
@@ -60,8 +61,8 @@ def map_complaints(
         ("malformed_mileage", "MILES", malformed("MILES", whole_number)),
         ("malformed_count", "DEATHS", malformed("DEATHS", whole_number)),
         ("malformed_count", "INJURED", malformed("INJURED", whole_number)),
-        ("malformed_indicator", "CRASH", _present_but(c("crash"), c("CRASH"))),
-        ("malformed_indicator", "FIRE", _present_but(c("fire"), c("FIRE"))),
+        ("malformed_indicator", "CRASH", _present_but(c("crash_observed"), c("CRASH"))),
+        ("malformed_indicator", "FIRE", _present_but(c("fire_observed"), c("FIRE"))),
         ("malformed_date", "FAILDATE", _present_but(c("occurrence_date"), c("FAILDATE"))),
         ("malformed_date", "LDATE", _present_but(c("report_date"), c("LDATE"))),
     ]
@@ -82,7 +83,9 @@ def map_complaints(
     return mapped.withColumns(
         {
             "component": text.component(c("COMPDESC")),
-            "severity": text.severity(c("death_count"), c("injury_count"), c("crash"), c("fire")),
+            "severity": text.severity(
+                c("death_count"), c("injury_count"), c("crash_observed"), c("fire_observed")
+            ),
             "known_configuration_id": F.when(
                 known,
                 identity.configuration_id(
@@ -141,8 +144,8 @@ def clean_complaints(mapped: DataFrame) -> DataFrame:
         "severity",
         "death_count",
         "injury_count",
-        "crash",
-        "fire",
+        c("crash_observed").alias("crash"),
+        c("fire_observed").alias("fire"),
         "mileage",
         F.lit(C.MILEAGE_UNIT).alias("mileage_unit"),
         "occurrence_date",

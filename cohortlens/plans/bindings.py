@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import (
     asof, communications, complaints, exposure, integration, matching, recalls, targets,
 )
-from cohortlens.session import stage
+from cohortlens.session import spread, stage
 
 CUTOFF = dt.date(1998, 12, 31)
 HORIZON = 12
@@ -91,7 +91,7 @@ def _select(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 def _lines(spark: SparkSession, folder: str, *, orders: bool) -> DataFrame:
     """Line items with their part (and order) columns; Catalyst picks the joins."""
-    lines = table(spark, folder, "lineitem")
+    lines = spread(table(spark, folder, "lineitem"), "l_orderkey")
     part = table(spark, folder, "part")
     joined = lines.join(part, lines.l_partkey == part.p_partkey)
     if orders:

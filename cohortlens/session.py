@@ -19,10 +19,30 @@ def recommended_conf() -> dict[str, str]:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Wide projections beyond the JIT limit run faster as separate smaller methods.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the recommended settings that a running session can still change."""
+    for key, value in recommended_conf().items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that has fewer splits than the session has cores.
+
+    Only a table of a few large row groups is affected; a large table has many splits
+    and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
