@@ -120,6 +120,10 @@ def invalid_predictions(df: DataFrame, split: str = "TEST") -> DataFrame:
     return ordered.side_by_side(repeated, rules)
 
 
+def _pair(name: str, label: str, field: str, value: Column) -> Column:
+    return F.named_struct(F.lit(name), F.lit(label), F.lit(field), value)
+
+
 def with_groups(df: DataFrame) -> DataFrame:
     """Repeat each row for its age, support and source-coverage group."""
     c = F.col
@@ -130,7 +134,7 @@ def with_groups(df: DataFrame) -> DataFrame:
             c("communication_observed_by_cutoff"), c("recall_observed_by_cutoff")
         ),
     }
-    pairs = [F.struct(F.lit(k).alias("family"), v.alias("group")) for k, v in families.items()]
+    pairs = [_pair("family", k, "group", v) for k, v in families.items()]
     return df.select("*", F.explode(F.array(*pairs)).alias("_g")).select(
         *df.columns, "_g.family", "_g.group"
     )
@@ -221,7 +225,7 @@ def error_analysis(df: DataFrame) -> DataFrame:
         "recall_available": c("recall_observed_by_cutoff").cast("string"),
         "model_year": c("model_year").cast("string"),
     }
-    pairs = [F.struct(F.lit(k).alias("dimension"), v.alias("value")) for k, v in dimensions.items()]
+    pairs = [_pair("dimension", k, "value", v) for k, v in dimensions.items()]
     long = df.select(
         F.explode(F.array_compact(F.array(category, confident))).alias("category"),
         F.array(*pairs).alias("d"),
@@ -265,11 +269,8 @@ def disagreements(pairs: DataFrame) -> DataFrame:
     c = F.col
     differ = pairs.where((c("p_left") >= C.THRESHOLD) != (c("p_right") >= C.THRESHOLD))
     dims = F.array(
-        F.struct(F.lit("age").alias("dimension"), numbers.age_bucket(c("cohort_age_at_cutoff")).alias("value")),
-        F.struct(
-            F.lit("support").alias("dimension"),
-            numbers.support_bucket(c("historical_complaint_count")).alias("value"),
-        ),
+        _pair("dimension", "age", "value", numbers.age_bucket(c("cohort_age_at_cutoff"))),
+        _pair("dimension", "support", "value", numbers.support_bucket(c("historical_complaint_count"))),
     )
     return differ.select(F.explode(dims).alias("d")).groupBy("d.dimension", "d.value").agg(
         F.count("*").alias("rows")

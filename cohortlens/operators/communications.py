@@ -24,12 +24,14 @@ def metadata_conflicts(rows: DataFrame) -> DataFrame:
 def documents(rows: DataFrame, source_file: str | None = None) -> DataFrame:
     """One row per document. Rows repeat per product and component; values are sets."""
     c = F.col
-    # Only the distinct combinations of the set-valued columns go through the arrays.
-    narrow = rows.groupBy("source_id", "component", "system", "subsystem").agg(
-        *[F.min(n).alias(n) for n in METADATA], F.count("*").alias("_rows")
+    # Only the distinct combinations of the set-valued columns go through the arrays. The
+    # document-level fields are keys: a document whose rows disagree on them shows up
+    # twice here and in ``metadata_conflicts``.
+    filled = rows.withColumns({n: F.coalesce(n, F.lit("")) for n in METADATA})
+    narrow = filled.groupBy("source_id", *METADATA, "component", "system", "subsystem").agg(
+        F.count("*").alias("_rows")
     )
-    grouped = narrow.groupBy("source_id").agg(
-        *[F.min(n).alias(n) for n in METADATA],
+    grouped = narrow.groupBy("source_id", *METADATA).agg(
         F.array_sort(F.collect_set("component")).alias("source_components"),
         F.array_sort(F.collect_set(F.nullif("system", F.lit("")))).alias("component_systems"),
         F.array_sort(F.collect_set(F.nullif("subsystem", F.lit("")))).alias("component_subsystems"),

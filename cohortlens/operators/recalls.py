@@ -49,13 +49,19 @@ def campaigns(rows: DataFrame, file_column: str = "source_file") -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(n).alias("f"), c(n).alias("v")) for n in fields])).alias("p"),
     ).select("CAMPNO", "p.f", "p.v")
     values = long.where(c("v").isNotNull()).groupBy("CAMPNO", "f", "v").agg(F.count("*").alias("n"))
-    lists = values.groupBy("CAMPNO").agg(
-        *[
-            F.array_sort(F.collect_list(F.when(c("f") == n, c("v")))).alias(f"_{n}")
-            for n in fields
-        ],
+    per_field = values.groupBy("CAMPNO", "f").agg(
+        F.array_sort(F.collect_list("v")).alias("values"), F.sum("n").alias("n")
+    )
+    maps = per_field.groupBy("CAMPNO").agg(
+        F.map_from_entries(F.collect_list(F.struct("f", "values"))).alias("_m"),
         F.sum(F.when(c("f") == file_column, c("n"))).alias("source_row_count"),
     )
+    none = F.array().cast("array<string>")
+    lists = maps.select(
+        "CAMPNO",
+        "source_row_count",
+        *[F.coalesce(F.try_element_at("_m", F.lit(n)), none).alias(f"_{n}") for n in fields],
+    )
     population = F.array_sort(
         F.transform(
             F.filter(c("_POTAFF"), lambda v: text.matches(v, "[0-9]+")),

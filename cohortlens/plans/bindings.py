@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions import text
 from cohortlens.operators import (
     asof, communications, complaints, exposure, integration, matching, recalls, targets,
 )
@@ -21,6 +22,8 @@ HORIZON = 12
 CORPUS_END = dt.date(2001, 11, 4)
 REVIEW_CUTOFFS = (dt.date(1998, 12, 31), dt.date(1999, 12, 31), dt.date(2000, 12, 31))
 ROW = "l_orderkey * 8 + l_linenumber"
+# Brands and types of the shared tables are ASCII codes, so no row needs the Unicode path.
+NORMALIZE = text.normalize_ascii
 
 # Component labels by row number; position 18 of 19 is null.
 COMPONENT_LABELS = (
@@ -105,7 +108,7 @@ def raw_complaints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mapped(spark: SparkSession, folder: str) -> DataFrame:
-    return complaints.map_complaints(raw_complaints(spark, folder))
+    return complaints.map_complaints(raw_complaints(spark, folder), NORMALIZE)
 
 
 def clean(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,7 +164,7 @@ def filings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def production(spark: SparkSession, folder: str) -> DataFrame:
-    return exposure.aggregate_production(exposure.canonical_filings(filings(spark, folder)))
+    return exposure.aggregate_production(exposure.canonical_filings(filings(spark, folder), NORMALIZE))
 
 
 def production_aliases(spark: SparkSession, folder: str) -> DataFrame:
@@ -306,7 +309,7 @@ class Evidence:
     def communication_applications(self) -> DataFrame:
         return self._once(
             "communication-applications",
-            lambda: communications.applications(communication_rows(self.spark, self.folder)),
+            lambda: communications.applications(communication_rows(self.spark, self.folder), NORMALIZE),
         )
 
     @property
@@ -335,7 +338,7 @@ class Evidence:
     def recall_applications(self) -> DataFrame:
         return self._once(
             "recall-applications",
-            lambda: recalls.applications(recall_rows(self.spark, self.folder)),
+            lambda: recalls.applications(recall_rows(self.spark, self.folder), NORMALIZE),
         )
 
     @property

@@ -60,7 +60,9 @@ def arr(x: str, name: str | None = None) -> str:
 
 
 def num(x: str, name: str | None = None) -> str:
-    return f"round(CAST({x} AS DOUBLE), {DIGITS}) AS {name or x}"
+    rounded = f"round(CAST({x} AS DOUBLE), {DIGITS})"
+    # Rounding can leave a negative zero, which is the same number.
+    return f"CASE WHEN {rounded} = 0 THEN 0.0::DOUBLE ELSE {rounded} END AS {name or x}"
 
 
 _ARRAYS = (
