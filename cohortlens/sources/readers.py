@@ -18,6 +18,7 @@ from cohortlens import schemas
 from cohortlens.functions import text
 
 CORRUPT = "_corrupt_record"
+ROWS = "rows_read"
 
 
 class SourceError(ValueError):
@@ -27,15 +28,20 @@ class SourceError(ValueError):
 def checked(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``df`` again when no rule is broken; otherwise an error with the counts."""
     counts = violations(df, rules).first().asDict()
-    broken = {name: n for name, n in counts.items() if n}
+    broken = {name: n for name, n in counts.items() if n and name != ROWS}
     if broken:
         raise SourceError(f"source rules broken: {broken}")
     return df
 
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Rows that break each rule (one row, one column per rule)."""
-    return df.agg(*[F.count_if(F.coalesce(bad, F.lit(False))).alias(n) for n, bad in rules.items()])
+    """Rows that break each rule (one row, one column per rule).
+
+    The filled values of the first column are counted too: Spark does not read the
+    corrupt-record column on its own.
+    """
+    broken = [F.count_if(F.coalesce(bad, F.lit(False))).alias(n) for n, bad in rules.items()]
+    return df.agg(F.count(F.col(f"`{df.columns[0]}`")).alias(ROWS), *broken)
 
 
 def _tab_separated(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, encoding: str) -> DataFrame:
@@ -52,6 +58,8 @@ def _tab_separated(spark: SparkSession, paths: str | Sequence[str], schema: T.St
         .option("lineSep", "\n")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("mode", "PERMISSIVE")
+        # Without this, columns nobody asks for are skipped and a short row looks whole.
+        .option("columnPruning", "false")
         .option("maxCharsPerColumn", "-1")
         .csv(paths if isinstance(paths, str) else list(paths))
     )
@@ -120,6 +128,7 @@ def read_compact(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         .option("escape", '"')
         .option("multiLine", "true")
         .option("encoding", "UTF-8")
+        .option("columnPruning", "false")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path if isinstance(path, str) else list(path))
     )
