@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -166,6 +167,20 @@ def prepare_inputs(
     return stage(kept, "model-inputs"), fitted
 
 
+ROWS_PER_TASK = 10_000
+
+
+def training_rows(rows: DataFrame) -> tuple[DataFrame, int]:
+    """TRAIN rows and their number, in no more partitions than their size asks for.
+
+    Iterative fits run hundreds of short jobs, so a small table in many partitions
+    would spend its time on task overhead. A large one keeps its partitions.
+    """
+    train = rows.where("split = 'TRAIN'")
+    n = train.count()
+    return train.coalesce(max(1, math.ceil(n / ROWS_PER_TASK))), n
+
+
 def _metrics_by_split(scored: DataFrame) -> dict[str, dict[str, float]]:
     rows = M.binary_metrics(scored, ["split"]).collect()
     return {r["split"]: {k: v for k, v in r.asDict().items() if k != "split"} for r in rows}
@@ -184,9 +199,9 @@ def evaluate_candidates(
         if candidate.scale not in inputs:
             inputs[candidate.scale] = prepare_inputs(dataset, columns, scale=candidate.scale)
         rows, fitted = inputs[candidate.scale]
-        train = rows.where("split = 'TRAIN'")
+        train, n = training_rows(rows)
         width = len(rows.select("features").first()["features"])
-        model = candidate.build(train.count(), width).fit(train)
+        model = candidate.build(n, width).fit(train)
         measured = _metrics_by_split(score(model, rows))
         chosen = measured["VALIDATION"]
         rank = (chosen["roc_auc"] or 0.0, chosen["pr_auc"], chosen["f1"])
@@ -241,9 +256,9 @@ def seed_robustness(
     rows: DataFrame, build: Callable[[int, int, int], object], seeds: Sequence[int]
 ) -> DataFrame:
     """Validation metrics of one configuration refitted per seed: mean and spread."""
-    train = rows.where("split = 'TRAIN'")
+    train, n = training_rows(rows)
     held = rows.where("split = 'VALIDATION'")
-    n, width = train.count(), len(rows.select("features").first()["features"])
+    width = len(rows.select("features").first()["features"])
     scored = None
     for seed in seeds:
         part = score(build(n, width, seed).fit(train), held).withColumn("seed", F.lit(seed))

@@ -16,21 +16,21 @@ def profile_ids(df: DataFrame, record: str, reference: str) -> DataFrame:
     """Rows, distinct ids, rows under repeated ids and references, exact copies."""
     parts = [df.agg(F.count("*").alias("rows"))]
     for name, label in ((record, "record"), (reference, "reference")):
-        sizes = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
+        sizes = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_n"))
         parts.append(
             sizes.agg(
                 F.count("*").alias(f"unique_{label}s"),
-                F.count_if(F.col("n") > 1).alias(f"repeated_{label}s"),
-                F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias(
+                F.count_if(F.col("_n") > 1).alias(f"repeated_{label}s"),
+                F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias(
                     f"rows_under_repeated_{label}"
                 ),
-                F.max("n").alias(f"largest_{label}"),
+                F.max("_n").alias(f"largest_{label}"),
             )
         )
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("n"))
+    copies = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
     parts.append(
         copies.agg(
-            F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("exact_copies")
+            F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("exact_copies")
         )
     )
     return ordered.side_by_side(*parts)
@@ -151,18 +151,18 @@ def profile_repeats(df: DataFrame, reference: str, component: str, combination:
     """Repeated references, references with several components, repeated combinations."""
     c = F.col
     sizes = (
-        df.where(c(reference).isNotNull()).groupBy(reference, component).agg(F.count("*").alias("n"))
+        df.where(c(reference).isNotNull()).groupBy(reference, component).agg(F.count("*").alias("_n"))
         .groupBy(reference)
-        .agg(F.sum("n").alias("n"), F.count(component).alias("components"))
+        .agg(F.sum("_n").alias("_n"), F.count(component).alias("components"))
     )
     references = sizes.agg(
-        F.count_if(c("n") > 1).alias("repeated_references"),
-        F.coalesce(F.sum(F.when(c("n") > 1, c("n"))), F.lit(0)).alias("rows_under_repeated_reference"),
-        F.max("n").alias("largest_reference"),
+        F.count_if(c("_n") > 1).alias("repeated_references"),
+        F.coalesce(F.sum(F.when(c("_n") > 1, c("_n"))), F.lit(0)).alias("rows_under_repeated_reference"),
+        F.max("_n").alias("largest_reference"),
         F.count_if(c("components") > 1).alias("references_with_several_components"),
     )
-    combos = df.groupBy(*combination).agg(F.count("*").alias("n")).agg(
-        F.count_if(c("n") > 1).alias("repeated_combinations")
+    combos = df.groupBy(*combination).agg(F.count("*").alias("_n")).agg(
+        F.count_if(c("_n") > 1).alias("repeated_combinations")
     )
     return ordered.side_by_side(references, combos)
 

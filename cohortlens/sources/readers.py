@@ -160,8 +160,16 @@ def read_production(spark: SparkSession, paths: str | Sequence[str], manifest: D
         .json(paths if isinstance(paths, str) else list(paths))
         .withColumn("filename", F.col("_metadata.file_name"))
     )
-    rows = documents.select(
-        "filename",
+    return production_rows(documents.join(manifest, "filename"))
+
+
+def production_rows(reports: DataFrame) -> DataFrame:
+    """One row per listed entry; an empty report keeps one row for its checks."""
+    context = (
+        "manufacturer_id", "manufacturer_name", "report_id", "reporting_year", "reporting_quarter",
+    )
+    rows = reports.select(
+        *context,
         CORRUPT,
         F.size("results").alias("_listed"),
         F.col("meta.pagination.total").alias("_total"),
@@ -169,12 +177,8 @@ def read_production(spark: SparkSession, paths: str | Sequence[str], manifest: D
         F.col("meta.pagination").isNotNull().alias("_paged"),
         F.posexplode_outer("results").alias("_position", "r"),
     )
-    return rows.join(manifest, "filename").select(
-        "manufacturer_id",
-        "manufacturer_name",
-        "report_id",
-        "reporting_year",
-        "reporting_quarter",
+    return rows.select(
+        *context,
         F.col("r.fuelPropulsionSystem").alias("fuel_propulsion_system"),
         F.col("r.make").alias("make"),
         F.col("r.model").alias("model"),
