@@ -155,13 +155,16 @@ class Fitted:
 
 
 def prepare_inputs(
-    dataset: DataFrame, columns: Sequence[str], *, scale: bool
+    dataset: DataFrame, columns: Sequence[str], *, scale: bool, known: ImputeScale | None = None
 ) -> tuple[DataFrame, ImputeScale]:
-    """Assembled vectors for all splits, with every statistic taken from TRAIN."""
+    """Assembled vectors for all splits, with every statistic taken from TRAIN.
+
+    ``known`` holds numbers already learned from TRAIN for these columns or more.
+    """
     identity = [n for n in columns if n in C.IDENTITY_MODEL]
     numeric = [n for n in columns if n not in identity]
     train = dataset.where("split = 'TRAIN'")
-    fitted = ImputeScale.fit(train, numeric, scale=scale)
+    fitted = known.subset(numeric) if known else ImputeScale.fit(train, numeric, scale=scale)
     rows = one_hot(train, dataset, identity) if identity else dataset
     kept = fitted.assemble(rows, META, [f"{n}_hot" for n in identity])
     return stage(kept, "model-inputs"), fitted
@@ -187,7 +190,8 @@ def _metrics_by_split(scored: DataFrame) -> dict[str, dict[str, float]]:
 
 
 def evaluate_candidates(
-    dataset: DataFrame, columns: Sequence[str], candidates: Sequence[Candidate]
+    dataset: DataFrame, columns: Sequence[str], candidates: Sequence[Candidate],
+    known: ImputeScale | None = None,
 ) -> Fitted:
     """Fit on TRAIN, choose on VALIDATION by ROC-AUC, then average precision, then F1.
 
@@ -197,7 +201,9 @@ def evaluate_candidates(
     inputs: dict[bool, tuple[DataFrame, ImputeScale]] = {}
     for candidate in candidates:
         if candidate.scale not in inputs:
-            inputs[candidate.scale] = prepare_inputs(dataset, columns, scale=candidate.scale)
+            inputs[candidate.scale] = prepare_inputs(
+                dataset, columns, scale=candidate.scale, known=known
+            )
         rows, fitted = inputs[candidate.scale]
         train, n = training_rows(rows)
         width = len(rows.select("features").first()["features"])
@@ -246,8 +252,10 @@ def metrics_frame(spark, rows: Sequence[tuple]) -> DataFrame:
 def ablation(dataset: DataFrame, experiments: dict[str, list[str]] | None = None) -> DataFrame:
     """The logistic model on each nested feature set."""
     out = []
+    train = dataset.where("split = 'TRAIN'")
+    known = ImputeScale.fit(train, C.ALL_EVIDENCE_MODEL, scale=True)
     for name, columns in (experiments or C.EXPERIMENTS).items():
-        fit = evaluate_candidates(dataset, columns, logistic_candidates())
+        fit = evaluate_candidates(dataset, columns, logistic_candidates(), known)
         out.append((name, "logistic_regression", fit.candidate, fit.metrics))
     return metrics_frame(dataset.sparkSession, out)
 

@@ -204,12 +204,12 @@ class ImputeScale:
 
     @classmethod
     def fit(cls, train: DataFrame, names: Sequence[str], *, scale: bool) -> ImputeScale:
-        middle = medians(train, list(names))
-        kept = [n for n in names if n in middle]
-        stats = train.agg(
-            F.count("*").alias("rows"), *[F.count(n).alias(f"s_{n}") for n in kept]
-        ).first().asDict()
-        missing = [n for n in kept if stats[f"s_{n}"] < stats["rows"]]
+        table = ordered.quantiles(train, [], {n: _numeric(n) for n in names}, [0.5])
+        stats = {r["measure"]: (r["q"][0], r["n"]) for r in table.collect()}
+        middle = {n: stats[n][0] for n in names if n in stats}
+        kept = list(middle)
+        rows = train.count()
+        missing = [n for n in kept if stats[n][1] < rows]
         draft = cls(kept, middle, missing, {}, {})
         if not scale:
             return draft
@@ -222,6 +222,19 @@ class ImputeScale:
         deviations = {k: row[f"d_{k}"] or 1.0 for k in outputs}
         return cls(kept, middle, missing, means, deviations)
 
+    def subset(self, names: Sequence[str]) -> ImputeScale:
+        """The same numbers for fewer columns; each column's numbers stand alone."""
+        kept = [n for n in names if n in self.medians]
+        missing = [n for n in kept if n in self.missing]
+        outputs = {*kept, *(f"missing_{n}" for n in missing)}
+        return ImputeScale(
+            kept,
+            {n: self.medians[n] for n in kept},
+            missing,
+            {n: v for n, v in self.means.items() if n in outputs},
+            {n: v for n, v in self.deviations.items() if n in outputs},
+        )
+
     def _raw(self) -> dict[str, Column]:
         values = {n: F.coalesce(_numeric(n), F.lit(self.medians[n])) for n in self.names}
         flags = {f"missing_{n}": F.col(n).isNull().cast("double") for n in self.missing}

@@ -155,6 +155,14 @@ def clean_complaints(mapped: DataFrame) -> DataFrame:
     )
 
 
+def clean_from_raw(
+    raw: DataFrame, normalize: Callable[[Column], Column] = text.normalize_identity
+) -> DataFrame:
+    """Accepted rows only. The first check runs as a filter that reaches the scan, so rows
+    of other products are never parsed; the result is that of mapping every row."""
+    return clean_complaints(map_complaints(raw.where(F.col("PROD_TYPE") == "V"), normalize))
+
+
 def excluded_complaints(mapped: DataFrame) -> DataFrame:
     """Rejected rows with their original evidence, the reason and the failing field."""
     c = F.col

@@ -112,7 +112,7 @@ def mapped(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, folder: str) -> DataFrame:
-    return complaints.clean_complaints(mapped(spark, folder))
+    return complaints.clean_from_raw(raw_complaints(spark, folder), NORMALIZE)
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
