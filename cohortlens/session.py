@@ -21,8 +21,6 @@ def recommended_conf() -> dict[str, str]:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Wide projections beyond the JIT limit run faster as separate smaller methods.
         "spark.sql.codegen.hugeMethodLimit": "8000",
-        # Many small groups of arrays stay hashed instead of being sorted after 128 groups.
-        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }
 
