@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, contamination, langid
+from cohortlens.llm import bpe, contamination, langid, lines, pii
 from cohortlens.llm.common import residue, table
 
 
@@ -45,6 +45,25 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of the base kinds and all spans of personal data in every text."""
+    found = pii.find(table(spark, folder, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k.name)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k.name}") for k in pii.BASE],
+        F.sha2(pii.listing(F.col("spans"), pii.BASE).cast("binary"), 256).alias("base_sha256"),
+        pii.listing(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every text without the lines that ten or more documents share."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = lines.drop_common_lines(docs)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that lie in a ten-word window of a benchmark item."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -60,5 +79,5 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op8_decontamination)}
-CHECKS: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_pii, op7_line_dedup, op8_decontamination)}
+CHECKS = {"op4_pii": pii.CHECK, "op7_line_dedup": lines.CHECK}
