@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, contamination, langid, lines, pii
+from cohortlens.llm import bpe, contamination, langid, lines, pii, simhash
 from cohortlens.llm.common import residue, table
 
 
@@ -57,6 +57,14 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and group of near-duplicates of every document."""
+    found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What stays of every text without the lines that ten or more documents share."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -79,5 +87,5 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_pii, op7_line_dedup, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_pii, op6_simhash, op7_line_dedup, op8_decontamination)}
 CHECKS = {"op4_pii": pii.CHECK, "op7_line_dedup": lines.CHECK}
