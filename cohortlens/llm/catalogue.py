@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, contamination, langid, lines, pii, simhash
+from cohortlens.llm import bpe, brown, contamination, langid, lines, pii, simhash
 from cohortlens.llm.common import residue, table
 
 
@@ -57,6 +57,15 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Class-bigram and unigram scores of every text, learned from those not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = brown.score(docs, residue(F.col("doc_id"), 7) != 2)
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and group of near-duplicates of every document."""
     found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
@@ -87,5 +96,5 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_pii, op6_simhash, op7_line_dedup, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_pii, op5_brown_lm, op6_simhash, op7_line_dedup, op8_decontamination)}
 CHECKS = {"op4_pii": pii.CHECK, "op7_line_dedup": lines.CHECK}
