@@ -166,7 +166,7 @@ def score(docs: DataFrame, train: Column, classes: int = CLASSES, rounds: int =
     Tokens are the words between white space, A-Z in lower case, and one end for each text; a null
     text is empty, so it has the end alone. Counts come from all rows where ``train`` holds (null:
     not). ``base_score`` is the add-one unigram log10 probability and ``score`` that of the class
-    bigrams. Unseen words are one type in a class of its own. Without training rows nothing is known,
+    bigrams. Unseen words are one type in a class of its own, as likely as words seen once. Without training rows nothing is known,
     and every token has probability 1. Repeated rows count and return as often as they are there;
     an empty table gives an empty table; other columns are not read.
     """
@@ -187,23 +187,24 @@ def score(docs: DataFrame, train: Column, classes: int = CLASSES, rounds: int =
     numbered = stage(
         blocks.select("block", "doc_id", "sizes", "train", "tokens", F.size("words").alias("n_words")).join(looked_up, "block", "left"), "numbered"
     )
-    spark_classes = len(size)
-    start, unknown = spark_classes + 1, spark_classes
-    cells = (spark_classes + 2) ** 2
+    unknown, start, width = len(size), len(size) + 1, len(size) + 2
+    cells = width**2
 
     def count(batches):
         total = np.zeros(cells, np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                _, labels, before, used = _tokens(batch, row, unknown, start)
-                total += np.bincount((before * (spark_classes + 2) + labels)[used], minlength=cells)
+                counts, labels, before, used = _tokens(batch, row, unknown, start)
+                total += np.bincount((before * width + labels)[used], minlength=cells)
+                # What was seen once stands for what is yet unseen.
+                total += np.bincount((before * width + unknown)[used & (counts == 1)], minlength=cells)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(total[full], pa.int64())], names=["cell", "n"])
 
     table = np.zeros(cells, np.float64)
     for row in numbered.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         table[row["cell"]] = row["n"]
-    model = fit_transitions(size, table.reshape(spark_classes + 2, -1))
+    model = fit_transitions(size, table.reshape(width, width))
     id_type = docs.schema["doc_id"].dataType
     out = T.StructType([
         T.StructField("doc_id", id_type), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
@@ -251,7 +252,10 @@ def _tokens(batch: pa.RecordBatch, row: int, unknown: int, start: int):
 
 
 def fit_transitions(size: np.ndarray, table: np.ndarray, prior: float = TRANSITION_PRIOR) -> Model:
-    """Smoothed transitions: counts drawn towards the classes' own add-one frequencies."""
+    """Smoothed transitions: counts drawn towards the classes' own add-one frequencies.
+
+    The unknown class has the words seen once as its count, so each row sums to one.
+    """
     tokens, distinct = int(size[:, 0].sum()), int(size[:, 1].sum())
     frequency = np.zeros(len(size) + 2)
     frequency[: len(size)] = size.sum(axis=1)
