@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, brown, contamination, langid, lines, pii, simhash
+from cohortlens.llm import ann, bpe, brown, contamination, langid, lines, pii, simhash
 from cohortlens.llm.common import residue, table
 
 
@@ -96,5 +96,10 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_pii, op5_brown_lm, op6_simhash, op7_line_dedup, op8_decontamination)}
+def op9_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_pii, op5_brown_lm, op6_simhash, op7_line_dedup, op8_decontamination, op9_ann)}
 CHECKS = {"op4_pii": pii.CHECK, "op7_line_dedup": lines.CHECK}
