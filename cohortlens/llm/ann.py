@@ -134,8 +134,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     shards, blocks = -(-rows.count() // SHARD_ROWS), max(1, -(-queries.count() // BLOCK_QUERIES))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = rows.select("vec_id", "embedding", deal(shards).alias("shard"), everywhere(blocks).alias("block"))
-    asked = queries.select("vec_id", "embedding", everywhere(shards).alias("shard"), deal(blocks).alias("block"))
+    index = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), deal(shards).alias("shard"), everywhere(blocks).alias("block"))
+    asked = queries.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), everywhere(shards).alias("shard"), deal(blocks).alias("block"))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, table = _matrix(left)
@@ -168,9 +168,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
 
 def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = rows["vec_id"].to_numpy().astype(np.int64)
+    ids = rows["id"].to_numpy().astype(np.int64)
     if not len(ids):
         return ids, np.zeros((0, 0))
-    flat = rows["embedding"].combine_chunks()
+    flat = rows["vector"].combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     return ids, flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
