@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ann, bpe, brown, contamination, langid, lines, pii, simhash
+from cohortlens.llm import ann, bpe, brown, contamination, langid, lines, pii, simhash, toxicity
 from cohortlens.llm.common import residue, table
 
 
@@ -101,5 +101,19 @@ def op9_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_pii, op5_brown_lm, op6_simhash, op7_line_dedup, op8_decontamination, op9_ann)}
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, predicted after its quality by a chain learned from the labels."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit(docs, labels, ["low_quality", "toxic"])
+    found = toxicity.predict(docs, chain)
+    return found.select(
+        "doc_id",
+        F.coalesce(F.get("chain", F.lit(1))["flag"], F.lit(False)).alias("toxic"),
+        F.coalesce(F.get("chain", F.lit(1))["p"], F.lit(0.0)).alias("p_toxic"),
+        F.coalesce(F.get("chain", F.lit(0))["p"], F.lit(0.0)).alias("p_low_quality"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_pii, op5_brown_lm, op6_simhash, op7_line_dedup, op8_decontamination, op9_ann, op10_toxicity)}
 CHECKS = {"op4_pii": pii.CHECK, "op7_line_dedup": lines.CHECK}
