@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ann, bpe, brown, contamination, langid, lines, pii, simhash, toxicity
+from cohortlens.llm import ann, bpe, brown, contamination, langid, lines, pii, repeats, simhash, toxicity
 from cohortlens.llm.common import residue, table
 
 
@@ -45,6 +45,19 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every text without its 200-byte strings that occur anywhere else."""
+    found = repeats.remove(table(spark, folder, "documents").select("doc_id", "text"))
+    cut = F.col("repeats")
+    return found.select(
+        "doc_id",
+        cut["n_bytes"].alias("n_bytes"),
+        (cut["n_bytes"] - F.octet_length(cut["kept"])).cast("long").alias("n_removed"),
+        F.size(cut["spans"]).cast("long").alias("n_spans"),
+        F.sha2(cut["kept"], 256).alias("kept_sha256"),
+    )
+
+
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of the base kinds and all spans of personal data in every text."""
     found = pii.find(table(spark, folder, "documents"))
@@ -115,5 +128,5 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_pii, op5_brown_lm, op6_simhash, op7_line_dedup, op8_decontamination, op9_ann, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_repeats, op4_pii, op5_brown_lm, op6_simhash, op7_line_dedup, op8_decontamination, op9_ann, op10_toxicity)}
 CHECKS = {"op4_pii": pii.CHECK, "op7_line_dedup": lines.CHECK}
