@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import prepare
-from cohortlens.session import stage
+from cohortlens.llm.common import prepare, stage
 
 BITS = 64
 SUBSTRINGS = 8

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens import session
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,15 +20,31 @@ BATCH_BYTES = 8 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that the operators rely on; all can be changed at run time.
 
-    Batches handed to Python are bounded by bytes as well as rows, and shuffle files go
-    as soon as the statement that made them ends, so staged operators don't add them up.
+    Batches handed to Python are bounded by bytes as well as rows.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """A table written to the shared folder and read back; the shuffle files of the write go with it.
+
+    That setting is on for the write alone: statements whose rows are fetched after they end
+    (``toLocalIterator``, ``toPandas``) would lose what they still read.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return session.stage(df, label)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 

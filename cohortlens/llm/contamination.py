@@ -118,7 +118,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, into: str
     spark = prepare(docs.sparkSession)
     chunks: list[list[tuple[str, list[str]]]] = [[]]
     room = AUTOMATON_BYTES
-    for row in windows(items, size).toLocalIterator():
+    for row in windows(items, size).orderBy("window").collect():
         if room < 0:
             chunks.append([])
             room = AUTOMATON_BYTES

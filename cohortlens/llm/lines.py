@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import ascii_lower, prepare
-from cohortlens.session import stage
+from cohortlens.llm.common import ascii_lower, fresh, prepare, stage
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -93,18 +92,17 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     Adds n_lines and n_dropped (columns of those names are replaced). A null text becomes empty.
     """
+    docs = docs.drop("n_lines", "n_dropped")
+    b_id, b_mark, runs, split = fresh(docs, "b_id", "b_mark", "keep_runs", "split_lines")
     b = bitmaps.select(
-        F.col("doc_id").alias("b_doc_id"), F.col("mark").alias("b_mark"), "n_lines", "n_dropped", "keep_runs"
-    )
-    docs = docs.drop("n_lines", "n_dropped", "b_doc_id", "b_mark", "keep_runs", "split_lines")
-    joined = docs.join(b, docs["doc_id"].eqNullSafe(F.col("b_doc_id")) & (F.xxhash64(docs["text"]) == F.col("b_mark")))
-    kept = F.flatten(
-        F.transform("keep_runs", lambda r: F.slice(F.col("split_lines"), r["start"] + 1, r["size"]))
+        F.col("doc_id").alias(b_id), F.col("mark").alias(b_mark), "n_lines", "n_dropped", F.col("keep_runs").alias(runs)
     )
+    joined = docs.join(b, docs["doc_id"].eqNullSafe(b[b_id]) & (F.xxhash64(docs["text"]) == b[b_mark]))
+    kept = F.flatten(F.transform(runs, lambda r: F.slice(F.col(split), r["start"] + 1, r["size"])))
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = F.when(F.col("n_dropped") == 0, text).otherwise(F.array_join(kept, "\n"))
     return (
-        joined.withColumn("split_lines", F.when(F.col("n_dropped") > 0, F.split(text, "\n")))
+        joined.withColumn(split, F.when(F.col("n_dropped") > 0, F.split(text, "\n")))
         .withColumn("text", cut)
         .select(*docs.columns, "n_lines", "n_dropped")
     )

@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import prepare
-from cohortlens.session import stage
+from cohortlens.llm.common import prepare, stage
 
 LENGTH = 200
 GRAM = 8

@@ -22,8 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import prepare
-from cohortlens.session import stage
+from cohortlens.llm.common import fresh, prepare, stage
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -199,7 +198,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """One document of each group: that of the smallest id, of repeated ids the smallest text hash."""
-    heads = groups(docs, shingle).select(F.col("component_id").alias("h_id"), F.col("component_mark").alias("h_mark")).distinct()
-    marked = docs.withColumn("h_text_mark", F.xxhash64("text"))
-    kept = marked.join(heads, marked["doc_id"].eqNullSafe(heads["h_id"]) & (marked["h_text_mark"] == heads["h_mark"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "h_text_mark"]).select(*docs.columns)
+    h_id, h_mark, mark = fresh(docs, "h_id", "h_mark", "text_mark")
+    heads = groups(docs, shingle).select(F.col("component_id").alias(h_id), F.col("component_mark").alias(h_mark)).distinct()
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    kept = marked.join(heads, marked["doc_id"].eqNullSafe(heads[h_id]) & (marked[mark] == heads[h_mark]), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).select(*docs.columns)

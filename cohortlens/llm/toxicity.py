@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import prepare
+from cohortlens.llm.common import prepare, stage
 from cohortlens.llm.contamination import words_of
-from cohortlens.session import stage
 
 #: Bounds of the training sample and of the features kept for each category.
 SAMPLE_ROWS = 12_000

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import bpe, catalogue, contamination, langid, lines, simhash
-from cohortlens.llm.common import prepare
-from cohortlens.session import stage
+from cohortlens.llm.common import prepare, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
