@@ -154,6 +154,7 @@ def matches(value: Column, pattern: str) -> Column:
 
 
 def unsigned(value: Column) -> Column:
+    """A whole number of digits only; null for other text and beyond 64 bits."""
     return F.when(matches(value, "[0-9]+"), value.try_cast("bigint"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -27,9 +26,19 @@ META = (
 
 
 def model_dataset(features: DataFrame, targets: DataFrame, split: DataFrame) -> DataFrame:
-    """Features with their label and split, one row per cohort."""
+    """Features with their label and split, one row per cohort.
+
+    The three tables must have the same ids: a cohort that one of them lacks stops the run.
+    """
     labels = targets.select(C.COHORT_ID, F.col("future_any_complaint").cast("int").alias("target"))
-    return features.join(labels, C.COHORT_ID).join(split, C.COHORT_ID)
+    out = features.withColumn("_row", F.lit(True))
+    for part, said in ((labels, "target"), (split, "split")):
+        out = out.join(part.withColumn(f"_{said}", F.lit(True)), C.COHORT_ID, "full")
+    whole = F.col("_row") & F.col("_target") & F.col("_split")
+    checked = out.withColumn(C.COHORT_ID, F.when(F.coalesce(whole, F.lit(False)), F.col(C.COHORT_ID)).otherwise(
+        F.raise_error(F.concat(F.lit("features, targets and split differ at cohort "), C.COHORT_ID)).cast("string")
+    ))
+    return checked.drop("_row", "_target", "_split")
 
 
 def alignment_mismatches(features: DataFrame, targets: DataFrame, split: DataFrame) -> DataFrame:
@@ -170,18 +179,16 @@ def prepare_inputs(
     return stage(kept, "model-inputs"), fitted
 
 
-ROWS_PER_TASK = 10_000
+#: Partitions of the training rows. Tree bagging is seeded for each partition, so the number is fixed:
+#: the same rows give the same model on any cluster. A larger table is given a larger number by the caller.
+TRAINING_PARTITIONS = 8
 
 
-def training_rows(rows: DataFrame) -> tuple[DataFrame, int]:
-    """TRAIN rows and their number, in no more partitions than their size asks for.
-
-    Iterative fits run hundreds of short jobs, so a small table in many partitions
-    would spend its time on task overhead. A large one keeps its partitions.
-    """
+def training_rows(rows: DataFrame, partitions: int = TRAINING_PARTITIONS) -> tuple[DataFrame, int]:
+    """TRAIN rows and their number, dealt by cohort id to a fixed number of partitions."""
     train = rows.where("split = 'TRAIN'")
-    n = train.count()
-    return train.coalesce(max(1, math.ceil(n / ROWS_PER_TASK))), n
+    dealt = train.repartition(partitions, C.COHORT_ID).sortWithinPartitions(C.COHORT_ID)
+    return dealt, train.count()
 
 
 def _metrics_by_split(scored: DataFrame) -> dict[str, dict[str, float]]:

@@ -22,21 +22,28 @@ def metadata_conflicts(rows: DataFrame) -> DataFrame:
 
 
 def documents(rows: DataFrame, source_file: str | None = None) -> DataFrame:
-    """One row per document. Rows repeat per product and component; values are sets."""
+    """One row per document. Rows repeat per product and component; values are sets.
+
+    Rows of a document that disagree on document-level fields stop the run; ``metadata_conflicts`` lists
+    such documents beforehand.
+    """
     c = F.col
-    # Only the distinct combinations of the set-valued columns go through the arrays. The
-    # document-level fields are keys: a document whose rows disagree on them shows up
-    # twice here and in ``metadata_conflicts``.
+    # Only the distinct combinations of the set-valued columns go through the arrays.
     filled = rows.withColumns({n: F.coalesce(n, F.lit("")) for n in METADATA})
-    narrow = filled.groupBy("source_id", *METADATA, "component", "system", "subsystem").agg(
-        F.count("*").alias("_rows")
+    fields = F.struct(*METADATA)
+    narrow = filled.groupBy("source_id", "component", "system", "subsystem").agg(
+        F.count("*").alias("_rows"), F.min(fields).alias("_least"), F.max(fields).alias("_most")
     )
-    grouped = narrow.groupBy("source_id", *METADATA).agg(
+    grouped = narrow.groupBy("source_id").agg(
+        F.min("_least").alias("_least"), F.max("_most").alias("_most"),
         F.array_sort(F.collect_set("component")).alias("source_components"),
         F.array_sort(F.collect_set(F.nullif("system", F.lit("")))).alias("component_systems"),
         F.array_sort(F.collect_set(F.nullif("subsystem", F.lit("")))).alias("component_subsystems"),
         F.sum("_rows").alias("source_row_count"),
     )
+    said = F.concat(F.lit("document-level fields differ within document "), F.coalesce("source_id", F.lit("null")))
+    agreed = F.when(c("_least") == c("_most"), c("source_id")).otherwise(F.raise_error(said).cast("string"))
+    grouped = grouped.select(agreed.alias("source_id"), "_least.*", *[n for n in grouped.columns if n[0] != "_" and n != "source_id"])
     added, added_flag = text.flagged_date(c("added"), "date_added")
     sent, sent_flag = text.flagged_date(c("communicated"), "communication_date")
     return grouped.select(

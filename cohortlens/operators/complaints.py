@@ -44,8 +44,6 @@ def map_complaints(
             "_transmission": text.lookup(c("TRANS_TYPE"), {"AUTO": "automatic", "MAN": "manual"}),
         }
     )
-    whole_number = "[0-9]+"
-
     def malformed(name: str, pattern: str) -> Column:
         return c(name).isNotNull() & ~text.matches(c(name), pattern)
 
@@ -58,9 +56,9 @@ def map_complaints(
         ("missing_vehicle_identity", "MAKETXT", c("normalized_make").isNull()),
         ("missing_vehicle_identity", "MODELTXT", c("normalized_model").isNull()),
         ("invalid_model_year", "YEARTXT", c("model_year").isNull()),
-        ("malformed_mileage", "MILES", malformed("MILES", whole_number)),
-        ("malformed_count", "DEATHS", malformed("DEATHS", whole_number)),
-        ("malformed_count", "INJURED", malformed("INJURED", whole_number)),
+        ("malformed_mileage", "MILES", _present_but(c("mileage"), c("MILES"))),
+        ("malformed_count", "DEATHS", _present_but(c("death_count"), c("DEATHS"))),
+        ("malformed_count", "INJURED", _present_but(c("injury_count"), c("INJURED"))),
         ("malformed_indicator", "CRASH", _present_but(c("crash_observed"), c("CRASH"))),
         ("malformed_indicator", "FIRE", _present_but(c("fire_observed"), c("FIRE"))),
         ("malformed_date", "FAILDATE", _present_but(c("occurrence_date"), c("FAILDATE"))),

@@ -94,7 +94,10 @@ def _gate(
 def integrate(
     cohorts: DataFrame, production: DataFrame, communications: DataFrame, recalls: DataFrame
 ) -> DataFrame:
-    """One row per cohort with the values of all four sources (168 columns)."""
+    """One row per cohort with the values of all four sources (168 columns).
+
+    Every table must have the same cohorts, each once: one that a table lacks stops the run.
+    """
     c = F.col
     base = cohorts.select(*[c(n).alias(complaint_name(n)) for n in C.COHORT_FEATURE_COLUMNS])
     parts = [
@@ -114,9 +117,15 @@ def integrate(
             ("recall_match_status", "recall_match_status"), "recall_match_method",
         ),
     ]
+    base = base.withColumn("_row", F.lit(True))
     for part in parts:
-        base = base.join(part, C.COHORT_ID)
+        base = base.join(part, C.COHORT_ID, "full")
     flags = ("has_production_match", "has_manufacturer_communications", "has_recall")
+    # The flags are never null in their own table, so a null is a row without partner.
+    whole = c("_row") & c(flags[0]).isNotNull() & c(flags[1]).isNotNull() & c(flags[2]).isNotNull()
+    said = F.concat(F.lit("a source has no or another cohort "), C.COHORT_ID)
+    checked = F.when(F.coalesce(whole, F.lit(False)), c(C.COHORT_ID)).otherwise(F.raise_error(said).cast("string"))
+    base = base.withColumn(C.COHORT_ID, checked).drop("_row")
     sources = F.lit(1)
     for flag in flags:
         sources = sources + c(flag).cast("int")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 
-SALTS = 16
-
 
 def cohort_index(cohorts: DataFrame) -> DataFrame:
     """One row per (make, model, year): candidate count and an id when it is unique."""
@@ -17,17 +15,6 @@ def cohort_index(cohorts: DataFrame) -> DataFrame:
     )
 
 
-def _salted(rows: DataFrame, index: DataFrame, on: list[str], spread: Column) -> DataFrame:
-    """Left join where a hot key of ``rows`` is spread over ``SALTS`` tasks.
-
-    ``index`` holds one row per key, so repeating it per salt is cheap. When it is small
-    enough Catalyst broadcasts it instead and the salt costs nothing.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    repeated = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*on, "_salt"], "left").drop("_salt")
-
-
 def match_applications(
     applications: DataFrame, cohorts: DataFrame, aliases: DataFrame | None = None
 ) -> DataFrame:
@@ -38,13 +25,9 @@ def match_applications(
     """
     c = F.col
     index = cohort_index(cohorts)
-    spread = c("applicability_id")
-    rows = _salted(
-        applications,
-        index.select(*C.KEY, c("_n").alias("_exact_n"), c("_id").alias("_exact_id")),
-        list(C.KEY),
-        spread,
-    )
+    # The index has one row for each key; AQE broadcasts it or splits hot keys of the other side.
+    exact = index.select(*C.KEY, c("_n").alias("_exact_n"), c("_id").alias("_exact_id"))
+    rows = applications.join(exact, list(C.KEY), "left")
     if aliases is None:
         rows = rows.withColumns(
             {"_alias_n": F.lit(None).cast("bigint"), "_alias_id": F.lit(None).cast("string")}
@@ -59,7 +42,7 @@ def match_applications(
             c("_from_make").alias("normalized_make"), c("_from_model").alias("normalized_model"),
             "model_year", c("_n").alias("_alias_n"), c("_id").alias("_alias_id"),
         )
-        rows = _salted(rows, via, list(C.KEY), spread)
+        rows = rows.join(via, list(C.KEY), "left")
     n = F.coalesce("_exact_n", "_alias_n", F.lit(0))
     method = F.when(c("_exact_n").isNotNull(), "exact_normalized").when(
         c("_alias_n").isNotNull(), "explicit_alias"

@@ -15,15 +15,14 @@ from cohortlens.functions import text
 from cohortlens.operators import (
     asof, communications, complaints, exposure, integration, matching, recalls, targets,
 )
-from cohortlens.session import spread, stage
+from cohortlens.session import stage
 
 CUTOFF = dt.date(1998, 12, 31)
 HORIZON = 12
 CORPUS_END = dt.date(2001, 11, 4)
 REVIEW_CUTOFFS = (dt.date(1998, 12, 31), dt.date(1999, 12, 31), dt.date(2000, 12, 31))
 ROW = "l_orderkey * 8 + l_linenumber"
-# Brands and types of the shared tables are ASCII codes, so no row needs the Unicode path.
-NORMALIZE = text.normalize_ascii
+NORMALIZE = text.normalize_identity
 
 # Component labels by row number; position 18 of 19 is null.
 COMPONENT_LABELS = (
@@ -94,7 +93,7 @@ def _select(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 def _lines(spark: SparkSession, folder: str, *, orders: bool) -> DataFrame:
     """Line items with their part (and order) columns; Catalyst picks the joins."""
-    lines = spread(table(spark, folder, "lineitem"), "l_orderkey")
+    lines = table(spark, folder, "lineitem")
     part = table(spark, folder, "part")
     joined = lines.join(part, lines.l_partkey == part.p_partkey)
     if orders:

@@ -559,7 +559,7 @@ def tree_contributions(spark, folder):
     rows = contributed.join(_scored(spark, folder).select(C.COHORT_ID, "probability"), C.COHORT_ID)
     return rows.select(
         C.COHORT_ID, "baseline", total.alias("contribution_sum"), "probability",
-        (F.abs(c("baseline") + total - c("probability")) <= 1e-9).alias("reconstructed"),
+        (F.abs(c("baseline") + total - c("probability")) <= 1e-12).alias("reconstructed"),
     )
 
 
@@ -616,7 +616,7 @@ def result_documents(spark, folder):
 
 @register("result_consistency")
 def result_consistency(spark, folder):
-    return results.inconsistent_results(_documents(spark, folder), tolerance=1e-9)
+    return results.inconsistent_results(_documents(spark, folder), tolerance=1e-12)
 
 
 @register(

@@ -21,39 +21,54 @@ RECALL_SOURCE = strings(C.RECALL_COLUMNS)
 COMMUNICATION_SOURCE = strings(C.COMMUNICATION_COLUMNS)
 COMPACT_SOURCE = strings(C.COMPACT_COLUMNS)
 
-def _fields(spec: str) -> T.StructType:
-    """Flat schema from ``name:type`` words."""
-    types = {
-        "s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "b": T.BooleanType(),
-        "d": T.DateType(), "as": T.ArrayType(T.StringType()),
-    }
-    pairs = (word.rsplit(":", 1) for word in spec.split())
-    return T.StructType([T.StructField(name, types[kind]) for name, kind in pairs])
-
-
-PRODUCTION_DOCUMENT = T.StructType(
-    [
-        T.StructField(
-            "meta", T.StructType([T.StructField("pagination", _fields("nextUrl:s total:l"))])
-        ),
-        T.StructField(
-            "results",
-            T.ArrayType(
-                _fields(
-                    "fuelPropulsionSystem:s make:s model:s modelYear:s platform:s "
-                    "reportCategory:s totalProduction:l typeCode:s"
-                )
-            ),
+
+# The layout of a production report and of a clean complaint.
+PRODUCTION_DOCUMENT = (
+    T.StructType()
+    .add("meta", T.StructType().add("pagination", T.StructType().add("nextUrl", T.StringType()).add("total", T.LongType())))
+    .add(
+        "results",
+        T.ArrayType(
+            T.StructType()
+            .add("fuelPropulsionSystem", T.StringType())
+            .add("make", T.StringType())
+            .add("model", T.StringType())
+            .add("modelYear", T.StringType())
+            .add("platform", T.StringType())
+            .add("reportCategory", T.StringType())
+            .add("totalProduction", T.LongType())
+            .add("typeCode", T.StringType())
         ),
-    ]
+    )
 )
 
-CLEAN_COMPLAINT = _fields(
-    "event_id:s source_type:s source_record_id:s source_reference_id:s broad_vehicle_id:s "
-    "known_configuration_id:s source_make:s normalized_make:s source_model:s normalized_model:s "
-    "source_model_year:s model_year:i component:s source_component:s severity:s death_count:l "
-    "injury_count:l crash:b fire:b mileage:l mileage_unit:s occurrence_date:d report_date:d "
-    "narrative:s quality_flags:as"
+CLEAN_COMPLAINT = (
+    T.StructType()
+    .add("event_id", T.StringType())
+    .add("source_type", T.StringType())
+    .add("source_record_id", T.StringType())
+    .add("source_reference_id", T.StringType())
+    .add("broad_vehicle_id", T.StringType())
+    .add("known_configuration_id", T.StringType())
+    .add("source_make", T.StringType())
+    .add("normalized_make", T.StringType())
+    .add("source_model", T.StringType())
+    .add("normalized_model", T.StringType())
+    .add("source_model_year", T.StringType())
+    .add("model_year", T.IntegerType())
+    .add("component", T.StringType())
+    .add("source_component", T.StringType())
+    .add("severity", T.StringType())
+    .add("death_count", T.LongType())
+    .add("injury_count", T.LongType())
+    .add("crash", T.BooleanType())
+    .add("fire", T.BooleanType())
+    .add("mileage", T.LongType())
+    .add("mileage_unit", T.StringType())
+    .add("occurrence_date", T.DateType())
+    .add("report_date", T.DateType())
+    .add("narrative", T.StringType())
+    .add("quality_flags", T.ArrayType(T.StringType()))
 )
 
 

@@ -19,8 +19,6 @@ def recommended_conf() -> dict[str, str]:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Wide projections beyond the JIT limit run faster as separate smaller methods.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }
 
@@ -33,31 +31,44 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that has fewer splits than the session has cores.
-
-    Only a table of a few large row groups is affected; a large table has many splits
-    and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a fresh
-    temporary folder, and the setting is filled in so later calls agree.
+    On a cluster the setting is required: a folder of one machine would scatter the tables over the
+    executors' disks. A local session without it (a test) gets a fresh temporary folder, and the setting
+    is filled in so later calls agree.
     """
     folder = spark.conf.get(FOLDER_KEY, None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {FOLDER_KEY} to a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(FOLDER_KEY, folder)
     return folder.rstrip("/")
 
 
+#: Paths of the tables staged so far, by application.
+_STAGED: dict[str, list[str]] = {}
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/cohortlens/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cohortlens/{label}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this application has staged, and say how many tables that were.
+
+    Tables returned before cannot be computed again; call it once their rows are written or collected.
+    """
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
