@@ -182,6 +182,16 @@ def select_rule(candidates: DataFrame) -> DataFrame:
     return candidates.orderBy(F.desc("f1"), F.desc("roc_auc"), "t").limit(1)
 
 
+def majority(df: DataFrame, label: str = LABEL) -> DataFrame:
+    """The majority class of the training rows (1 on a tie) and its accuracy in each split."""
+    target = F.col(label).cast("int")
+    predicted = df.where("split = 'TRAIN'").agg((2 * F.sum(target) >= F.count("*")).cast("int").alias("p")).first()["p"]
+    return df.groupBy("split").agg(
+        F.lit(predicted).alias("predicted"), F.count("*").alias("rows"),
+        F.avg((target == F.lit(predicted)).cast("double")).alias("accuracy"),
+    )
+
+
 def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
     """Equal-width bins with their predicted mean and observed rate; empty bins stay."""
     c = F.col
