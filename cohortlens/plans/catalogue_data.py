@@ -168,7 +168,10 @@ def normalize_identity_unicode(spark, folder):
     return rows.select("origin", "id", "part", F.md5(folded).alias("digest"), F.length(folded).alias("length"))
 
 
-@register("normalize_by_dictionary")
+@register(
+    "normalize_by_dictionary",
+    'SELECT normalized_make AS make, normalized_model AS model, count(*) AS "rows" FROM parsed GROUP BY 1, 2',
+)
 def normalize_by_dictionary(spark, folder):
     """The same rule through a staged dictionary of distinct labels."""
     labelled = B.raw_complaints(spark, folder).select("MAKETXT", "MODELTXT")

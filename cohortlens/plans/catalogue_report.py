@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
-from cohortlens.modeling import metrics
+from cohortlens.modeling import metrics, models
 from cohortlens.operators import communications, exposure, integration, matching
 from cohortlens.plans import bindings as B
+from cohortlens.plans import catalogue_model
 from cohortlens.plans.catalogue_model import dataset
 from cohortlens.plans.registry import num, register
 
@@ -122,3 +123,31 @@ def identity_mismatches_seeded(spark, folder):
         "production": e.production.where(last != 2),
         "recalls": e.recalls.unionByName(e.recalls.where(last == 3)),
     })
+
+
+# --- what must hold for fitted models ---------------------------------------------------------------------------
+
+
+@register("contribution_check", "SELECT split, count(*) AS cohorts, 0::BIGINT AS unexplained FROM mds GROUP BY 1")
+def contribution_check(spark, folder):
+    """Cohorts by split, and those whose contributions don't add up to the forest's probability."""
+    total = F.aggregate("contribution", F.lit(0.0), lambda a, b: a + b)
+    gap = F.abs(F.col("baseline") + total - F.col("probability"))
+    rows = catalogue_model._contributed(spark, folder, None)[0].join(
+        catalogue_model._scored(spark, folder).select(C.COHORT_ID, "split", "probability"), C.COHORT_ID
+    )
+    return rows.groupBy("split").agg(F.count("*").alias("cohorts"), F.count_if(gap > 1e-12).alias("unexplained"))
+
+
+@register(
+    "prediction_check",
+    "SELECT broad_vehicle_id AS cohort_id, split, target, true AS probability_in_range, true AS class_follows_threshold FROM mds WHERE split = 'TEST'",
+)
+def prediction_check(spark, folder):
+    """Identity, label and validity of each row of the forest's prediction table."""
+    rows = models.prediction_table(catalogue_model._scored(spark, folder).where("split = 'TEST'"), "random-forest", B.CUTOFF)
+    p = F.col("probability")
+    return rows.select(
+        "cohort_id", "split", "target", p.between(0, 1).alias("probability_in_range"),
+        (F.col("predicted_class") == (p >= 0.5).cast("int")).alias("class_follows_threshold"),
+    )
