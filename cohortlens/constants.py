@@ -43,17 +43,6 @@ QUALITY_FLAGS = (
     "short_narrative",
     "zero_mileage",
 )
-REJECTION_REASONS = (
-    "unsupported_product_type",
-    "missing_source_identifier",
-    "malformed_source_identifier",
-    "missing_vehicle_identity",
-    "invalid_model_year",
-    "malformed_mileage",
-    "malformed_date",
-    "malformed_count",
-    "malformed_indicator",
-)
 RECALL_TYPES = ("VEHICLE", "EQUIPMENT", "CHILD_RESTRAINT", "TIRE", "OTHER")
 RECALL_TYPE_CODES = {"V": "VEHICLE", "E": "EQUIPMENT", "C": "CHILD_RESTRAINT", "T": "TIRE"}
 COMMUNICATION_TYPES = (

@@ -16,9 +16,15 @@ _BEFORE = (Window.unboundedPreceding, -1)
 
 
 def value_bucket(value: Column) -> Column:
-    """Monotone bucket of any number: 64 steps per power of two, both signs."""
-    magnitude = F.floor(F.log2(F.lit(1.0) + F.abs(value.cast("double"))) * 64)
-    return F.when(value < 0, -magnitude - 1).otherwise(magnitude).cast("long")
+    """Monotone bucket of any number: 4096 steps per power of two, both signs, zero apart.
+
+    The steps are relative to the value itself, so shares below one and time stamps of one year
+    spread over many buckets alike.
+    """
+    size = F.abs(value.cast("double"))
+    # Doubles start at 2^-1074; the shift keeps every magnitude positive.
+    magnitude = F.when(size > 0, F.floor(F.log2(size) * 4096) + 1100 * 4096).otherwise(0)
+    return F.when(value < 0, -magnitude).otherwise(magnitude).cast("long")
 
 
 def score_bucket(score: Column) -> Column:

@@ -403,10 +403,3 @@ def text_columns(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.lit(0).cast("bigint").alias("part"), F.col("html").alias("text")
     )
     return docs.unionByName(talk).unionByName(web)
-
-
-def score_rule(history: Column, recent: Column) -> Column:
-    """A fixed score in [0, 1) from two counts, for metric queries without a model."""
-    return (history * 3 + recent * 5) / (history * 3 + recent * 5 + 12.0)
-
-

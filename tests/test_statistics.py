@@ -132,3 +132,18 @@ def test_profiles(spark):
     assert bins == {0: 2, 1: 2, 2: 2, 3: 2, 4: 3}
     shares = {r["value"]: r["percent"] for r in profiling.profile_groups(df, "m").collect()}
     assert shares["x"] == 50.0
+
+
+def test_buckets_spread_shares_and_time_stamps(spark):
+    shares = spark.range(1_000_000).select(F.rand(5).alias("x"))
+    stamps = spark.range(1_000_000).select((F.lit(1.6e9) + F.rand(6) * 31_536_000).alias("x"))
+    for rows in (shares, stamps):
+        largest = rows.groupBy(ordered.value_bucket(F.col("x")).alias("b")).count().agg(F.max("count")).first()[0]
+        assert largest <= 0.011 * 1_000_000
+
+
+def test_buckets_follow_the_order_of_numbers(spark):
+    values = [-1e300, -2.5, -1.0, -1e-300, 0.0, 1e-310, 1e-9, 0.3, 0.5, 1.0, 1.0000001, 7.0, 1e300]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", ordered.value_bucket(F.col("x")).alias("b"))
+    buckets = [r["b"] for r in rows.orderBy("x").collect()]
+    assert buckets == sorted(buckets)
