@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ class Codec:
         self.special = {token["content"]: token["id"] for token in spec["added_tokens"]}
         self.pieces = {number: token for token, number in ranks.items()}
         self.pieces |= {number: text.encode() for text, number in self.special.items()}
-        self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     def encode_plain(self, text: str) -> list[int]:
         """Ids of a text in which strings of special tokens are ordinary text."""
@@ -75,8 +76,8 @@ class Codec:
         longest = sorted(self.special, key=len, reverse=True)
         return [part for part in regex.split(f"({'|'.join(map(regex.escape, longest))})", text) if part]
 
-    def bytes_of(self, ids) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return self.bpe.decode_bytes(ids)
 
     def decode(self, ids) -> str:
         return self.bytes_of(ids).decode("utf-8", "replace")
@@ -155,6 +156,13 @@ def codec(path: str) -> Codec:
 IDS = pa.list_(pa.int32())
 
 
+def _lists(rows: pa.Array) -> Iterator[list[int]]:
+    """The rows of a list column; a null row is an empty list."""
+    values, offsets = rows.values.to_numpy(), rows.offsets.to_numpy()
+    for start, end in zip(offsets[:-1], offsets[1:], strict=True):
+        yield values[start:end].tolist()
+
+
 def encoder(path: str):
     def encode(texts: pa.Array) -> pa.Array:
         own = codec(path)
@@ -166,7 +174,8 @@ def encoder(path: str):
 def decoder(path: str):
     def decode(rows: pa.Array) -> pa.Array:
         own = codec(path)
-        return pa.array([None if r is None else own.decode(r) for r in rows.to_pylist()], pa.string())
+        texts = [own.decode(ids) for ids in _lists(rows)]
+        return pa.array([t if v else None for t, v in zip(texts, rows.is_valid().to_pylist(), strict=True)], pa.string())
 
     return F.arrow_udf(decode, "string")
 
@@ -222,11 +231,12 @@ def _encode_long(docs: DataFrame, path: str, into: str, leaf_chars: int) -> Data
         rows = rows.sort_by([(part_no, "ascending"), (leaf_no, "ascending")])
         where = list(zip(rows[part_no].to_pylist(), [x or 0 for x in rows[leaf_no].to_pylist()], strict=True))
         copies = where.count((0, 0))
-        ids, hard = rows["ids"].to_pylist(), rows["hard"].to_pylist()
+        ids = [own_ids for chunk in rows["ids"].chunks for own_ids in _lists(chunk)]
+        hard = rows["hard"].to_pylist()
         lists: dict[int, list[list[int]]] = {}
         token: dict[int, str | None] = {}
         for i in range(0, len(where), copies):  # equal rows have equal leaves
-            lists.setdefault(where[i][0], []).append(ids[i] or [])
+            lists.setdefault(where[i][0], []).append(ids[i])
             token[where[i][0]] = hard[i]
         whole: list[int] = []
         for number, parts in sorted(lists.items()):
