@@ -4,8 +4,8 @@ Words get classes by exchange clustering; a text's probability is the product of
 transitions and word emissions, smoothed so that each is a proper distribution.
 
 Texts are read once. Each Arrow batch becomes a block: its tokens as numbers into the block's
-own word list. All later steps move words of blocks, never texts or tokens of documents:
-counts by word, then (count, class) back to each block. The word list of the corpus is
+own word list. Later steps move the words of blocks, never texts: counts by word, then
+(count, class) back to each block. The word list of the corpus is
 distributed throughout; the driver sees only tables of classes.
 """
 
@@ -21,14 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from cohortlens.llm.common import prepare
-from cohortlens.session import stage
+from cohortlens.llm.common import prepare, stage
 
 CLASSES = 32
 #: Neighbours are hashed to so many contexts on each side for the exchange.
-CONTEXTS = 8
+CONTEXTS = 4
 ROUNDS = 4
+#: Added to each context count of a class.
+CONTEXT_PRIOR = 0.5
 #: Weight of the class frequencies in the transition probabilities.
 TRANSITION_PRIOR = 50.0
 #: The end of a text as a word; no word holds white space.
@@ -37,7 +39,9 @@ SIDES = [f"x{i}" for i in range(2 * CONTEXTS)]
 
 
 def _blocks(docs: DataFrame, train: Column) -> DataFrame:
-    """(block, doc_id[], sizes[], words[], counts[], x0[].., tokens) for each batch of documents."""
+    """Blocks and their words: a row (block, doc_id[], sizes[], train[], tokens, place) for each batch of
+    documents, ``place`` being its number of distinct words, and a row (block, place, word, count, x0..) for
+    each of those words. The columns of the other kind are null."""
     source = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     id_type = source.schema["doc_id"].dataType
 
@@ -69,62 +73,67 @@ def _blocks(docs: DataFrame, train: Column) -> DataFrame:
             left = np.bincount(ids[used] * CONTEXTS + before[used], minlength=size * CONTEXTS).reshape(size, CONTEXTS)
             right = np.bincount(ids[inner] * CONTEXTS + after[inner], minlength=size * CONTEXTS).reshape(size, CONTEXTS)
             one = lambda values: pa.ListArray.from_arrays([0, len(values)], values)
-            columns = {
-                "block": pa.array([number], pa.int64()), "doc_id": one(batch.column("doc_id")),
-                "sizes": one(pa.array(sizes)), "train": one(batch.column("train")),
-                "tokens": pa.array([zstandard.compress(ids.tobytes())], pa.binary()),
-                "words": one(pa.array([w.decode() for w in words], pa.string())), "counts": one(pa.array(counts, pa.int32())),
-            }
             sides = np.concatenate([left, right], axis=1).astype(np.int32)
-            columns |= {name: one(pa.array(sides[:, i])) for i, name in enumerate(SIDES)}
+            yield row({
+                "block": pa.array([number]), "place": pa.array([size], pa.int32()), "doc_id": one(batch.column("doc_id")),
+                "sizes": one(pa.array(sizes)), "train": one(batch.column("train")), "tokens": pa.array([zstandard.compress(ids.tobytes())]),
+            }, 1)
+            yield row({
+                "block": pa.array(np.full(size, number)), "place": pa.array(np.arange(size, dtype=np.int32)),
+                "word": pa.array([w.decode() for w in words]), "count": pa.array(counts, pa.int32()),
+            } | {name: pa.array(np.ascontiguousarray(sides[:, i])) for i, name in enumerate(SIDES)}, size)
             number += 1
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    ints = T.ArrayType(T.IntegerType())
-    fields = [
-        ("block", T.LongType()), ("doc_id", T.ArrayType(id_type)), ("sizes", ints), ("train", T.ArrayType(T.BooleanType())),
-        ("tokens", T.BinaryType()), ("words", T.ArrayType(T.StringType())), ("counts", ints), *[(name, ints) for name in SIDES],
-    ]
-    return source.mapInArrow(build, T.StructType([T.StructField(*f) for f in fields]))
+    schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("doc_id", T.ArrayType(id_type)),
+        T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("train", T.ArrayType(T.BooleanType())),
+        T.StructField("tokens", T.BinaryType()), T.StructField("word", T.StringType()), T.StructField("count", T.IntegerType()),
+        *[T.StructField(name, T.IntegerType()) for name in SIDES],
+    ])
+    types = to_arrow_schema(schema)
+
+    def row(columns: dict[str, pa.Array], size: int) -> pa.RecordBatch:
+        full = [columns.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in types]
+        return pa.RecordBatch.from_arrays(full, schema=types)
+
+    return source.mapInArrow(build, schema)
 
 
-def _xlogx(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1e-300))
+def likelihood(profile: np.ndarray) -> float:
+    """The part of the class bigrams' log-likelihood that depends on the classes, from their context counts."""
+    xlogx = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    halves = np.stack([profile[:, :CONTEXTS], profile[:, CONTEXTS:]])
+    return float(xlogx(halves) - xlogx(halves.sum(axis=2)))
 
 
-def _value(profile: np.ndarray) -> np.ndarray:
-    """A class's share of the class bigrams' log-likelihood, from its counts by context."""
-    left, right = profile[..., :CONTEXTS].sum(-1), profile[..., CONTEXTS:].sum(-1)
-    return _xlogx(profile).sum(-1) - _xlogx(left) - _xlogx(right)
+def _log_shares(profile: np.ndarray) -> np.ndarray:
+    """Log probabilities of contexts, each side for itself, with the prior added."""
+    halves = profile.reshape(*profile.shape[:-1], 2, CONTEXTS) + CONTEXT_PRIOR
+    return np.log(halves / halves.sum(axis=-1, keepdims=True)).reshape(profile.shape)
 
 
-def assign(vectors: np.ndarray, steps: list[np.ndarray], weights: np.ndarray | None = None) -> np.ndarray:
+def assign(vectors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     """Classes of context vectors after the exchange rounds whose class profiles are ``steps``.
 
-    Step 0 holds the seeds' profiles; every later step moves each vector to the class where it adds
-    most to the likelihood, its own counts taken out of its class first. Odd rounds move one half
+    Step 0 holds the seeds' profiles; every later step moves each vector to the class under which its
+    contexts are most likely, its own counts taken out of its class. Odd rounds move one half
     of the vectors and even rounds the other, so that likes don't chase each other.
     """
+    x, rows = vectors.astype(np.float64), np.arange(len(vectors))
+    half = (vectors @ (2 * np.arange(vectors.shape[1]) + 1) >> 1) & 1
     found = np.zeros(len(vectors), np.int64)
-    half = (vectors @ (2 * np.arange(vectors.shape[1]) + 1) >> 1) & 1 if len(vectors) else found
-    for at in range(0, len(vectors), 4096):
-        x = vectors[at : at + 4096].astype(np.float64)
-        for number, profile in enumerate(steps):
-            full = np.broadcast_to(profile, (len(x), *profile.shape)).copy()
-            if number:
-                own = found[at : at + 4096]
-                full[np.arange(len(x)), own] = np.maximum(full[np.arange(len(x)), own] - x, 0)
-            best = (_value(full + x[:, None, :]) - _value(full)).argmax(axis=1)
-            move = np.ones(len(x), bool) if number == 0 else half[at : at + 4096] == number % 2
-            found[at : at + 4096] = np.where(move, best, found[at : at + 4096])
+    for number, profile in enumerate(steps):
+        gain = x @ _log_shares(profile).T
+        if number:
+            gain[rows, found] = (x * _log_shares(np.maximum(profile[found] - x, 0))).sum(axis=1)
+        found = np.where((number == 0) | (half == number % 2), gain.argmax(axis=1), found)
     return found
 
 
 def class_of(steps: list[np.ndarray]):
     def classes(*sides: pa.Array) -> pa.Array:
         vectors = np.stack([s.to_numpy(zero_copy_only=False) for s in sides], axis=1).astype(np.int64)
-        distinct, back = np.unique(vectors, axis=0, return_inverse=True)
-        return pa.array(assign(distinct, steps)[back.reshape(-1)], pa.int32())
+        return pa.array(assign(vectors, steps), pa.int32())
 
     return F.arrow_udf(classes, "int")(*[F.col(name) for name in SIDES])
 
@@ -172,9 +181,8 @@ def score(docs: DataFrame, train: Column, classes: int = CLASSES, rounds: int =
     """
     spark = prepare(docs.sparkSession)
     blocks = stage(_blocks(docs, train), "blocks")
-    listed = F.arrays_zip("words", "counts", *SIDES)
-    entries = blocks.select("block", F.posexplode(listed).alias("place", "w")).select("block", "place", "w.*")
-    summed = entries.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c"), *[F.sum(s).alias(s) for s in SIDES])
+    entries = blocks.where("word is not null")
+    summed = entries.groupBy("word").agg(F.sum("count").alias("c"), *[F.sum(s).alias(s) for s in SIDES])
     vocabulary = stage(summed.where("c > 0"), "vocabulary")
     steps = exchange(vocabulary, classes, rounds)
     known = stage(vocabulary.select("word", "c", class_of(steps).alias("class")), "classes")
@@ -182,11 +190,11 @@ def score(docs: DataFrame, train: Column, classes: int = CLASSES, rounds: int =
     for row in known.groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).collect():
         size[row[0]] = row[1:]
 
-    places = entries.select("block", "place", "words").join(known, F.col("words") == F.col("word"))
-    looked_up = places.groupBy("block").agg(F.collect_list(F.struct("place", "c", "class")).alias("known"))
-    numbered = stage(
-        blocks.select("block", "doc_id", "sizes", "train", "tokens", F.size("words").alias("n_words")).join(looked_up, "block", "left"), "numbered"
-    )
+    places = entries.select("block", "place", "word").join(known, "word")
+    # Written before it meets the tokens, so the words' shuffle files are gone by then.
+    looked_up = stage(places.groupBy("block").agg(F.collect_list(F.struct("place", "c", "class")).alias("known")), "looked-up")
+    whole = blocks.where("tokens is not null").select("block", "doc_id", "sizes", "train", "tokens", F.col("place").alias("n_words"))
+    numbered = stage(whole.join(looked_up, "block", "left"), "numbered")
     unknown, start, width = len(size), len(size) + 1, len(size) + 2
     cells = width**2
 
