@@ -45,6 +45,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
             conf.set(CLEANUP, before)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables whose successors are written; nothing may read them any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import prepare, stage
+from cohortlens.llm.common import discard, prepare, stage
 
 LENGTH = 200
 GRAM = 8
@@ -191,8 +191,11 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     strings that start anywhere else too. ``mark`` is a hash of the text."""
     prepare(docs.sparkSession)
     rows = _ranges_of(docs)
-    repeated = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    # Counts are written before they are joined: then both sides of the join are plain exchanges,
+    # and AQE can split a core that very many ranges have.
+    repeated = stage(rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "repeated-cores")
     alive = stage(rows.join(repeated, "core", "left_semi"), "alive-ranges")
+    discard(repeated)
     blocks = stage(
         alive.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "first", "more")).alias("one")), "range-blocks"
     )
@@ -202,11 +205,14 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     )
     closed = alive.join(blocks.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("doc_id", "mark", "first", "more")
     strings = stage(_strings(docs, examples), "strings")
-    twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    opened = (
+    twice = stage(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "repeated-strings")
+    # Written apart, so the strings' shuffle files are gone before the ranges are put together.
+    opened = stage(
         strings.where("open").join(twice, ["h1", "h2"], "left_semi")
-        .select("doc_id", "mark", F.col("start").alias("first"), F.lit(0).alias("more"))
+        .select("doc_id", "mark", F.col("start").alias("first"), F.lit(0).alias("more")),
+        "open-starts",
     )
+    discard(strings, twice)
     return closed.unionByName(opened).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("first", "more"))).alias("starts"))
 
 
