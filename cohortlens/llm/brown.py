@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cohortlens.llm.common import prepare, stage
+from cohortlens.llm.common import discard, prepare, stage
 
 CLASSES = 32
 #: Neighbours are hashed to so many contexts on each side for the exchange.
@@ -152,6 +152,7 @@ def exchange(vocabulary: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS
         for row in sums.collect():
             profile[row["class"]] = row[1:]
         steps.append(profile)
+    discard(likes)
     return steps
 
 
@@ -186,6 +187,7 @@ def score(docs: DataFrame, train: Column, classes: int = CLASSES, rounds: int =
     vocabulary = stage(summed.where("c > 0"), "vocabulary")
     steps = exchange(vocabulary, classes, rounds)
     known = stage(vocabulary.select("word", "c", class_of(steps).alias("class")), "classes")
+    discard(vocabulary)
     size = np.zeros((len(steps[0]), 2), np.int64)
     for row in known.groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).collect():
         size[row[0]] = row[1:]
@@ -195,6 +197,7 @@ def score(docs: DataFrame, train: Column, classes: int = CLASSES, rounds: int =
     looked_up = stage(places.groupBy("block").agg(F.collect_list(F.struct("place", "c", "class")).alias("known")), "looked-up")
     whole = blocks.where("tokens is not null").select("block", "doc_id", "sizes", "train", "tokens", F.col("place").alias("n_words"))
     numbered = stage(whole.join(looked_up, "block", "left"), "numbered")
+    discard(blocks, known, looked_up)
     unknown, start, width = len(size), len(size) + 1, len(size) + 2
     cells = width**2
 
