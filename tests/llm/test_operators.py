@@ -245,6 +245,20 @@ def test_exchange_raises_the_likelihood():
     assert values[-1] >= values[0]
 
 
+def test_exchange_finds_classes_of_neighbours(spark):
+    # Four kinds of words that follow each other in turn; only the kinds of neighbours tell a word's kind.
+    rng = random.Random(5)
+    kinds = [[f"w{rng.getrandbits(40):x}" for _ in range(60)] for _ in range(4)]
+    rows = [(i, " ".join(rng.choice(kinds[j % 4]) for j in range(i % 4, i % 4 + 60)), None) for i in range(600)]
+    # Random classes are no better than a word among 240, true ones as good as a word among 60.
+    shuffled = [(i, " ".join(rng.sample(t.split(), 60)), None) for i, t, _ in rows]
+    per_token = [
+        brown.score(documents(spark, texts), F.col("doc_id") % 5 != 0, 5).where(~F.col("train")).agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+        for texts in (rows, shuffled)
+    ]
+    assert per_token[0] > -math.log10(60) - 0.1 > per_token[1] + 0.3
+
+
 def test_scores_without_training_rows(spark):
     rows = brown.score(documents(spark, [(1, "a b", None)]), F.lit(False)).collect()
     assert [(r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows] == [(3, 0, 0.0, 0.0)]
