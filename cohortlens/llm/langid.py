@@ -32,14 +32,15 @@ MARGIN = 0.004
 def fit(train: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionaries from ``train(text, lang)``: language to raw content.
 
-    The sample is bounded: for each language the ``texts`` distinct texts of smallest hash,
-    of each the first ``chars`` code points. So a dictionary has at most ``texts * (chars + 1)``
+    The sample is bounded: of each text ``chars`` code points at a place that its hash draws from the whole text,
+    and for each language the ``texts`` distinct excerpts of smallest hash. So a dictionary has at most ``texts * (chars + 1)``
     code points, and the driver receives that much for each language. Null or empty texts
     and null languages teach nothing; without training rows the result is empty.
     """
     prepare(train.sparkSession)
     train = train.where("lang is not null and text <> ''")
-    excerpts = train.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
+    excerpts = train.select("lang", F.col("text").substr(place.cast("int"), F.lit(chars)).alias("text")).withColumn("h", F.xxhash64("text"))
     best = excerpts.groupBy("lang", "h").agg(F.min("text").alias("text"))
     # Within slices of each language first, so no task ranks a whole language.
     for keys in (["lang", F.pmod("h", F.lit(SLICES))], ["lang"]):

@@ -57,6 +57,18 @@ def test_language_of_awkward_rows(spark, awkward):
     assert {r["language"]["lang"] for r in langid.identify(awkward, {}).collect()} == {"und"}
 
 
+def test_language_under_a_shared_header(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    header = "This notice is placed before all of the texts that come from this source and it says nothing about what the texts themselves hold.\n"
+    headed = docs.withColumn("text", F.when(F.col("lang") == "fr", F.concat(F.lit(header), "text")).otherwise(F.col("text")))
+    model = langid.fit(headed)
+    found = [r["language"] for r in langid.identify(docs.where("lang = 'fr'"), model).collect()]
+    assert sum(r["lang"] == "fr" and not r["rejected"] for r in found) >= 0.95 * len(found) > 0
+    # Equal excerpts count once, however many texts they come from.
+    same = [(i, "one and the same", "en") for i in range(9)] + [(9, "another", "en")]
+    assert sorted(langid.fit(documents(spark, same), 2)["en"].split(b"\n")) == [b"another", b"one and the same"]
+
+
 def test_equal_sizes_are_rejected(spark):
     model = {"aa": b"some words", "bb": b"some words"}
     row = langid.identify(documents(spark, [(1, "any text", None)]), model).first()["language"]
