@@ -198,7 +198,7 @@ def encode(docs: DataFrame, path: str, into: str = "token_ids", leaf_chars: int
 
 
 def _encode_long(docs: DataFrame, path: str, into: str, leaf_chars: int) -> DataFrame:
-    row, mark, other, part_no, part, leaf_no, leaf = fresh(docs, "row", "mark", "other", "part_no", "part", "leaf_no", "leaf")
+    row, mark, other, proof, part_no, part, leaf_no, leaf = fresh(docs, "row", "mark", "other", "proof", "part_no", "part", "leaf_no", "leaf")
     own = codec(path)
     others = [c for c in docs.columns if c != "text"]
     packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
@@ -206,15 +206,16 @@ def _encode_long(docs: DataFrame, path: str, into: str, leaf_chars: int) -> Data
     borders = "|".join(rf"\Q{token}\E" for token in sorted(own.special, key=len, reverse=True)) or r"\z\A"
     parts = (
         docs.select(
-            packed.alias(row), F.xxhash64(packed, "text").alias(mark), F.xxhash64(F.lit(1), packed, "text").alias(other), "text"
+            packed.alias(row), F.xxhash64(packed, "text").alias(mark), F.xxhash64(F.lit(1), packed, "text").alias(other),
+            F.sha2(F.col("text").cast("binary"), 256).alias(proof), "text"
         ).select(
-            row, mark, other,
+            row, mark, other, proof,
             F.posexplode(F.split("text", borders)).alias(part_no, part),
             F.regexp_extract_all("text", F.lit(f"({borders})"), F.lit(1)).alias("hard"),
         )
     )
     leaves = parts.select(
-        row, mark, other, part_no,
+        row, mark, other, proof, part_no,
         F.get("hard", F.col(part_no) - 1).alias("hard"),
         F.posexplode_outer(F.regexp_extract_all(part, F.lit(f"(?s).{{1,{leaf_chars}}}"), F.lit(0))).alias(leaf_no, leaf),
     )
@@ -224,7 +225,7 @@ def _encode_long(docs: DataFrame, path: str, into: str, leaf_chars: int) -> Data
         .drop(leaf)
     )
     fields = docs.select(packed.alias(row)).schema[0].dataType
-    schema = T.StructType([T.StructField(row, fields), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField(row, fields), T.StructField(proof, T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def join(rows: pa.Table) -> pa.Table:
         own = codec(path)
@@ -241,12 +242,15 @@ def _encode_long(docs: DataFrame, path: str, into: str, leaf_chars: int) -> Data
         whole: list[int] = []
         for number, parts in sorted(lists.items()):
             whole += ([own.special[token[number]]] if number else []) + own.concat_tree(parts)
-        return pa.table({row: rows[row].slice(0, copies), "ids": pa.array([whole] * copies, IDS)})
+        return pa.table({row: rows[row].slice(0, copies), proof: rows[proof].slice(0, copies), "ids": pa.array([whole] * copies, IDS)})
 
     joined = encoded.groupBy(mark, other).applyInArrow(join, schema)
     back = [F.col(f"{row}.`{c}`").alias(c) for c in others]
-    decoded = decoder(path)(F.col("ids")).alias("text")
-    return joined.select(*back, decoded, F.col("ids").alias(into)).select(*docs.columns, into)
+    # The text is returned from its ids, so they have to give the text that was read.
+    decoded = joined.withColumn("decoded", decoder(path)(F.col("ids")))
+    same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col(proof)
+    text = F.when(same, F.col("decoded")).otherwise(F.raise_error(F.lit("token ids do not decode to their text")).cast("string"))
+    return decoded.select(*back, text.alias("text"), F.col("ids").alias(into)).select(*docs.columns, into)
 
 
 def leaf_encoder(path: str):

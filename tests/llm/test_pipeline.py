@@ -1,10 +1,12 @@
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cohortlens.llm import catalogue, langid
-from tests.llm.helpers import AWKWARD, documents, empty
+from cohortlens.llm import bpe, catalogue, langid
+from tests.llm.helpers import AWKWARD, LONG_TEXT, documents, empty
 from tests.llm.test_operators import fingerprint_by_hand, groups_by_hand, hits_by_hand, lines_by_hand
 
 
@@ -40,3 +42,11 @@ def test_near_duplicates_leave_one(spark, folder):
     rows = [(i, "the same few words again and again", "en") for i in (4, 2, 9)] + [(5, "something else entirely", "en")]
     kept = corpus_pipeline.near_dedup(spark, documents(spark, rows), folder).collect()
     assert Counter(r["doc_id"] for r in kept) == {2: 1, 5: 1}
+
+
+def test_wrong_ids_of_a_long_text_do_not_pass(spark, folder, monkeypatch):
+    encoder = bpe.leaf_encoder
+    monkeypatch.setattr(bpe, "leaf_encoder", lambda path: lambda leaf: encoder(path)(F.upper(leaf)))
+    encoded = corpus_pipeline.bpe_encode(spark, documents(spark, [(1, LONG_TEXT, "en")]), folder)
+    with pytest.raises(Exception, match="do not decode to their text"):
+        encoded.collect()
