@@ -18,6 +18,8 @@ def recommended_conf() -> dict[str, str]:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # HotSpot compiles no method above 8,000 bytes of bytecode: wider generated stages would run interpreted.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }
