@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ann, bpe, brown, contamination, langid, lines, pii, repeats, simhash, toxicity
+from cohortlens.llm import ann, bpe, brown, contamination, langid, lines, pii, repeats, simhash, toxicity, trie
 from cohortlens.llm.common import residue, table
 
 
@@ -128,5 +128,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_repeats, op4_pii, op5_brown_lm, op6_simhash, op7_line_dedup, op8_decontamination, op9_ann, op10_toxicity)}
-CHECKS = {"op4_pii": pii.CHECK, "op7_line_dedup": lines.CHECK}
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    return trie.nodes(table(spark, folder, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_repeats, op4_pii, op5_brown_lm, op6_simhash, op7_line_dedup, op8_decontamination, op9_ann, op10_toxicity, op11_prefix_trie)}
+CHECKS = {"op4_pii": pii.CHECK, "op7_line_dedup": lines.CHECK, "op11_prefix_trie": trie.CHECK}
