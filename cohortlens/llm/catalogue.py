@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ann, bpe, brown, contamination, langid, lines, pii, repeats, simhash, toxicity, trie
-from cohortlens.llm.common import residue, table
+from cohortlens.llm import ann, bpe, brown, contamination, langid, lines, pii, repair, repeats, secrets, simhash, toxicity, trie
+from cohortlens.llm.common import residue, stage, table
 
 
 def tokenizer_path() -> str:
@@ -133,5 +133,36 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.nodes(table(spark, folder, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_repeats, op4_pii, op5_brown_lm, op6_simhash, op7_line_dedup, op8_decontamination, op9_ann, op10_toxicity, op11_prefix_trie)}
-CHECKS = {"op4_pii": pii.CHECK, "op7_line_dedup": lines.CHECK, "op11_prefix_trie": trie.CHECK}
+def op12_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after seeded damage."""
+    conversations = table(spark, folder, "conversations")
+    rows = repair.damaged(conversations)
+    found = stage(repair.audits(rows), "repair-audits")
+    digests = repair.digests(rows, found).withColumnRenamed("conv_id", "digest_id")
+    ids = conversations.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    joined = ids.join(found, ids["id"].eqNullSafe(found["conv_id"]), "left").join(digests, ids["id"].eqNullSafe(digests["digest_id"]), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        F.col("id").alias("conv_id"),
+        # Without any row after damage there is no audit; gaps beyond 64 bits stay null.
+        *[F.when(F.col("audit").isNull(), 0).otherwise(F.col(c)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Stated and random-looking secrets of every text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.find(docs, secrets.fit(docs)).select("doc_id", "secrets")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("secrets", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(listed(F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE))).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("secrets")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_repeats, op4_pii, op5_brown_lm, op6_simhash, op7_line_dedup, op8_decontamination, op9_ann, op10_toxicity, op11_prefix_trie, op12_structure_repair, op13_secrets)}
+CHECKS = {"op4_pii": pii.CHECK, "op7_line_dedup": lines.CHECK, "op11_prefix_trie": trie.CHECK, "op12_structure_repair": repair.CHECK, "op13_secrets": secrets.CHECK}

@@ -298,7 +298,7 @@ def nodes(conversations: DataFrame) -> DataFrame:
     digests = stage(_end_digests(rows), "trie-ends")
     discard(cells, owners, cut)
     # Only where an owner's nodes begin its parent belongs to another conversation.
-    top = second.where("depth = 0").select(F.col("conv_id").alias("root_id"))
+    root = second.where("depth = 0").select("conv_id").first()
     inner = second.where("depth > 0").select(
         F.col("depth").alias("p_depth"), F.col("f1").alias("p1"), F.col("f2").alias("p2"), F.col("conv_id").alias("parent_id")
     )
@@ -306,8 +306,9 @@ def nodes(conversations: DataFrame) -> DataFrame:
     under = starts.join(
         inner, (starts["up1"] == inner["p1"]) & (starts["up2"] == inner["p2"]) & (starts["depth"] - 1 == inner["p_depth"])
     ).select(*second.columns, F.col("parent_id").alias("parent_conv_id"))
-    # One row: the root.
-    below_root = second.where("depth = 1 and begins > 0").join(F.broadcast(top)).select(*second.columns, F.col("root_id").alias("parent_conv_id"))
+    below_root = second.where("depth = 1 and begins > 0").select(
+        *second.columns, F.lit(root["conv_id"] if root else None).cast("long").alias("parent_conv_id")
+    )
     others = second.where("depth = 0 or begins = 0").select(
         *second.columns, F.when(F.col("depth") > 0, F.col("conv_id")).alias("parent_conv_id")
     )
