@@ -156,9 +156,10 @@ def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = secrets.find(docs, secrets.fit(docs)).select("doc_id", "secrets")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("secrets", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE],
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.BASE],
         F.sha2(listed(F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE))).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("secrets")).alias("spans"),
     )

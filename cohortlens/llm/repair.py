@@ -212,7 +212,7 @@ def _forwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _initial(role: Column) -> Column:
     """Place of the role's first character in `INITIALS`, or one beyond."""
-    place = F.locate(F.left(role, F.lit(1)), F.lit(INITIALS))
+    place = F.position(F.left(role, F.lit(1)), F.lit(INITIALS))
     return F.when((role == "") | (place == 0), len(INITIALS)).otherwise(place - 1)
 
 

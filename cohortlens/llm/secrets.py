@@ -3,8 +3,9 @@
 Two Markov models of characters are compared: one of random strings, trained on strings labelled as secrets, and one
 of ordinary words and identifiers. Both give the chance of a character after the one before it. A run of characters is
 reported where the logarithm of the ratio of its two likelihoods exceeds that of the odds against a secret. The labels
-come from the patterns: what they match is a secret (each distinct string once, however often it was copied), all
-other text is ordinary.
+come from the patterns: what they match is a secret (each distinct string once, however often it was copied); all other
+runs of characters are ordinary if letters and digits do not meet in them. Runs where they do have no label, as unknown
+secrets are among them.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ BASE = KINDS[:3]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_CHARS = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}")
-#: Shares of plain chance in the two models, and the logarithm of the odds of a million to one against a secret.
-RANDOM_CHANCE, ORDINARY_CHANCE = 0.5, 0.001
+#: Share of plain chance in the random model; weight of single characters in a row of the ordinary one, and the share of
+#: plain chance in these; the logarithm of the odds of a million to one against a secret.
+RANDOM_CHANCE, ORDINARY_WEIGHT, ORDINARY_CHANCE = 0.5, 100.0, 0.001
 ODDS = float(np.log(1e6))
 
 _CODE = np.zeros(256, np.uint8)
@@ -69,10 +71,20 @@ def codes(text: str) -> np.ndarray:
     return _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
 
 
-def pairs(text: str) -> np.ndarray:
-    """How often each character of the alphabet follows each (0: the start of a run)."""
+def pairs(text: str, unmixed: bool = False) -> np.ndarray:
+    """How often each character of the alphabet follows each (0: the start of a run).
+
+    ``unmixed`` leaves out runs in which both letters and digits occur.
+    """
     own = codes(text).astype(np.int64)
-    return np.bincount(np.concatenate(([0], own[:-1])) * SIZE + own, minlength=SIZE * SIZE)[: SIZE * SIZE] if len(own) else np.zeros(SIZE * SIZE, np.int64)
+    if not len(own):
+        return np.zeros(SIZE * SIZE, np.int64)
+    both = np.concatenate(([0], own[:-1])) * SIZE + own
+    if unmixed:
+        run = np.cumsum(own == 0)
+        letters, digits = (np.bincount(run[(own >= low) & (own <= high)], minlength=run[-1] + 1) > 0 for low, high in ((1, 52), (53, 62)))
+        both = both[~(letters & digits)[run]]
+    return np.bincount(both, minlength=SIZE * SIZE)
 
 
 @dataclass(frozen=True)
@@ -87,15 +99,20 @@ class Model:
 
 
 def model(secret: np.ndarray, ordinary: np.ndarray) -> Model:
-    """The two models from counts of pairs, each mixed with plain chance; without counts a row is plain chance."""
+    """The two models from counts of pairs; what was never seen has plain chance.
+
+    The random model mixes each row of counts with plain chance, the ordinary one with the counts of single characters.
+    """
+    plain = 1 / len(ALPHABET)
 
-    def chances(counts: np.ndarray, share: float) -> np.ndarray:
-        held = counts.reshape(SIZE, SIZE)[:, 1:].astype(np.float64)
-        total, plain = held.sum(axis=1, keepdims=True), 1 / len(ALPHABET)
-        return np.where(total > 0, (1 - share) * held / np.maximum(total, 1) + share * plain, plain)
+    def share(counts: np.ndarray, chance: float) -> np.ndarray:
+        total = counts.sum(axis=-1, keepdims=True)
+        return np.where(total > 0, (1 - chance) * counts / np.maximum(total, 1) + chance * plain, plain)
 
-    ratio = np.log(chances(secret, RANDOM_CHANCE)) - np.log(chances(ordinary, ORDINARY_CHANCE))
-    return Model(np.hstack([np.zeros((SIZE, 1)), ratio]))
+    drawn, known = (table.reshape(SIZE, SIZE)[:, 1:].astype(np.float64) for table in (secret, ordinary))
+    single = share(known.sum(axis=0), ORDINARY_CHANCE)
+    usual = (known + ORDINARY_WEIGHT * single) / (known.sum(axis=1, keepdims=True) + ORDINARY_WEIGHT)
+    return Model(np.hstack([np.zeros((SIZE, 1)), np.log(share(drawn, RANDOM_CHANCE)) - np.log(usual)]))
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +130,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for start, _, end in sorted(spans):
                 rest.append(text[at : max(at, start)])
                 at = max(at, end)
-            total += pairs(" ".join([*rest, text[at:]]))
+            total += pairs(" ".join([*rest, text[at:]]), unmixed=True)
         if secrets:
             yield pa.RecordBatch.from_pydict({"secret": list(secrets), "pair": [None] * len(secrets), "n": [None] * len(secrets)}, schema=_LABELLED)
     seen = np.flatnonzero(total)
@@ -221,22 +238,19 @@ def _sql_placed(table: str) -> str:
 
 
 _RUN_SQL = f"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}"
-_CHANCE = "CASE WHEN coalesce(t.n, 0) = 0 THEN {plain} ELSE (1 - {share}) * coalesce(c.n, 0) / t.n + {share} * {plain} END"
+_PLAIN = f"(1.0::DOUBLE / {len(ALPHABET)})"
+_GRID = f"(SELECT unnest(range({SIZE})) AS p) CROSS JOIN (SELECT unnest(range(1, {SIZE})) AS q)"
 
 
-def _sql_chance(name: str, share: float) -> str:
-    plain = f"(1.0::DOUBLE / {len(ALPHABET)})"
-    return (
-        f"SELECT p, q, {_CHANCE.format(plain=plain, share=f'{share}::DOUBLE')} AS chance FROM (SELECT unnest(range({SIZE})) AS p) CROSS JOIN "
-        f"(SELECT unnest(range(1, {SIZE})) AS q) LEFT JOIN {name} c USING (p, q) LEFT JOIN (SELECT p, sum(n) AS n FROM {name} GROUP BY p) t USING (p)"
-    )
+def _sql_share(count: str, total: str, chance: float) -> str:
+    return f"CASE WHEN coalesce({total}, 0) = 0 THEN {_PLAIN} ELSE (1 - {chance}::DOUBLE) * coalesce({count}, 0) / {total} + {chance}::DOUBLE * {_PLAIN} END"
 
 
-def _sql_pairs(source: str) -> str:
-    """Counts of pairs in the texts of ``source(id, t)``."""
+def _sql_pairs(runs: str) -> str:
+    """Counts of pairs in the distinct ``runs(run, n)``."""
     return (
-        f"SELECT p, q, count(*) AS n FROM (SELECT strpos('{ALPHABET}', ch) AS q, coalesce(lag(strpos('{ALPHABET}', ch)) OVER (PARTITION BY id ORDER BY i), 0) AS p "
-        f"FROM (SELECT id, unnest(string_split(t, '')) AS ch, unnest(range(length(t))) AS i FROM {source} WHERE t <> '')) WHERE q > 0 GROUP BY p, q"
+        f"SELECT p, q, sum(n)::DOUBLE AS n FROM (SELECT n, strpos('{ALPHABET}', ch) AS q, coalesce(lag(strpos('{ALPHABET}', ch)) OVER (PARTITION BY run ORDER BY i), 0) AS p "
+        f"FROM (SELECT run, n, unnest(string_split(run, '')) AS ch, unnest(range(length(run))) AS i FROM {runs} WHERE run <> '')) WHERE q > 0 GROUP BY p, q"
     )
 
 
@@ -244,13 +258,18 @@ CHECK = f"""
 WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({_sql_base()}),
 base AS (SELECT * FROM ({_sql_placed('m')}) WHERE CASE kind WHEN 'assign' THEN length(secret) >= 6 WHEN 'access' THEN length(hit) >= 20 ELSE length(hit) >= 24 END),
-secrets AS (SELECT row_number() OVER () AS id, secret AS t FROM (SELECT DISTINCT secret FROM base)),
+secrets AS (SELECT DISTINCT secret AS run, 1 AS n FROM base),
 held AS (SELECT id, list(a) AS starts, list(b) AS ends FROM base GROUP BY id),
 bare AS (SELECT id, t FROM docs WHERE id NOT IN (SELECT id FROM held) UNION ALL
   SELECT id, string_agg(CASE WHEN len(list_filter(list_zip(starts, ends), lambda z: z[1] <= i AND i < z[2])) > 0 THEN ' ' ELSE ch END, '' ORDER BY i)
   FROM (SELECT docs.id, starts, ends, unnest(string_split(t, '')) AS ch, unnest(range(length(t))) AS i FROM docs JOIN held ON docs.id = held.id) GROUP BY id),
-rand AS ({_sql_pairs('secrets')}), ord AS ({_sql_pairs('bare')}),
-ratio AS (SELECT r.p, r.q, ln(r.chance) - ln(o.chance) AS w FROM ({_sql_chance('rand', RANDOM_CHANCE)}) r JOIN ({_sql_chance('ord', ORDINARY_CHANCE)}) o USING (p, q)),
+plain_runs AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]+')) AS run FROM bare)
+  WHERE NOT (regexp_matches(run, '[A-Za-z]') AND regexp_matches(run, '[0-9]')) GROUP BY run),
+rand AS ({_sql_pairs('secrets')}), ord AS ({_sql_pairs('plain_runs')}),
+singles AS (SELECT q, {_sql_share('n', '(SELECT sum(n) FROM ord)', ORDINARY_CHANCE)} AS u FROM (SELECT unnest(range(1, {SIZE})) AS q) LEFT JOIN (SELECT q, sum(n) AS n FROM ord GROUP BY q) USING (q)),
+ratio AS (SELECT p, q, ln({_sql_share('r.n', 'rt.n', RANDOM_CHANCE)}) - ln((coalesce(o.n, 0) + {ORDINARY_WEIGHT} * u) / (coalesce(ot.n, 0) + {ORDINARY_WEIGHT})) AS w
+  FROM {_GRID} JOIN singles USING (q) LEFT JOIN rand r USING (p, q) LEFT JOIN ord o USING (p, q)
+  LEFT JOIN (SELECT p, sum(n) AS n FROM rand GROUP BY p) rt USING (p) LEFT JOIN (SELECT p, sum(n) AS n FROM ord GROUP BY p) ot USING (p)),
 k AS (SELECT id, 3 AS rank, 'random' AS kind, string_split_regex(t, '{_RUN_SQL}') AS g, regexp_extract_all(t, '{_RUN_SQL}') AS h, regexp_extract_all(t, '{_RUN_SQL}') AS v FROM docs),
 runs AS (SELECT row_number() OVER () AS n, s.* FROM ({_sql_placed('k')}) s
   WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.id = s.id AND base.a < s.b AND s.a < base.b)),

@@ -36,35 +36,40 @@ def listing(found):
 def models_by_hand(texts):
     random_, ordinary, seen = Counter(), Counter(), set()
 
-    def count(text, into):
-        last = ""
-        for c in text:
-            c = c if c in secrets.ALPHABET else ""
-            if c:
-                into[last, c] += 1
-            last = c
+    def count(run, into):
+        for last, c in zip(["", *run], run, strict=False):
+            into[last, c] += 1
 
     for text in texts:
         text = text or ""
         own = base_by_hand(text)
         seen.update(s for *_, s in own)
-        count("".join(" " if any(a <= i < b for a, _, b, _ in own) else c for i, c in enumerate(text)), ordinary)
+        bare = "".join(" " if any(a <= i < b for a, _, b, _ in own) else c for i, c in enumerate(text))
+        for run in re.findall(r"[A-Za-z0-9+/_=-]+", bare):
+            if not (re.search("[A-Za-z]", run) and re.search("[0-9]", run)):
+                count(run, ordinary)
     for s in seen:
-        count(s, random_)
-
-    def chance(counts, totals, last, c, share):
-        total = totals[last]
-        return (1 - share) * counts[last, c] / total + share / 67 if total else 1 / 67
-
+        for run in re.findall(r"[A-Za-z0-9+/_=-]+", s):
+            count(run, random_)
     totals = []
     for counts in (random_, ordinary):
         by_last = Counter()
         for (last, _), n in counts.items():
             by_last[last] += n
         totals.append(by_last)
-    return lambda run: sum(
-        math.log(chance(random_, totals[0], p, c, 0.5)) - math.log(chance(ordinary, totals[1], p, c, 0.001)) for p, c in zip(["", *run], run, strict=False)
-    )
+    single = Counter()
+    for (_, c), n in ordinary.items():
+        single[c] += n
+    everything = sum(single.values())
+
+    def drawn(last, c):
+        return 0.5 * random_[last, c] / totals[0][last] + 0.5 / 67 if totals[0][last] else 1 / 67
+
+    def usual(last, c):
+        alone = 0.999 * single[c] / everything + 0.001 / 67 if everything else 1 / 67
+        return (ordinary[last, c] + 100 * alone) / (totals[1][last] + 100)
+
+    return lambda run: sum(math.log(drawn(p, c)) - math.log(usual(p, c)) for p, c in zip(["", *run], run, strict=False))
 
 
 def spans_by_hand(texts):
