@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions import numbers, ordered
+from cohortlens.operators import guards
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "brier_score")
 ID, LABEL, SCORE = "cohort_id", "target", "probability"
@@ -250,6 +251,13 @@ def paired(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ID, "full")
 
 
+def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
+    """`paired` rows; one without a partner, twice in a table or with two labels stops the run."""
+    once = [guards.unique(t, ID, f"the {side} predictions") for t, side in ((left, "left"), (right, "right"))]
+    same = F.col("y_left").cast("int") == F.col("y_right").cast("int")
+    return guards.hold(paired(*once), same, F.concat(F.lit("predictions differ in rows or labels at "), F.col(ID)))
+
+
 def misaligned(pairs: DataFrame) -> DataFrame:
     """Pairs whose label differs or is missing on a side; must be empty."""
     return pairs.where(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cohortlens import constants as C
 from cohortlens.modeling import metrics as M
 from cohortlens.modeling.preprocess import ImputeScale, one_hot
+from cohortlens.operators import guards
 from cohortlens.session import stage
 
 SPLITS = ("TRAIN", "VALIDATION", "TEST")
@@ -28,17 +29,20 @@ META = (
 def model_dataset(features: DataFrame, targets: DataFrame, split: DataFrame) -> DataFrame:
     """Features with their label and split, one row per cohort.
 
-    The three tables must have the same ids: a cohort that one of them lacks stops the run.
+    The three tables must have the same cohorts, each once, and features and targets the same make, model and
+    year for each: anything else stops the run, whichever columns are read.
     """
-    labels = targets.select(C.COHORT_ID, F.col("future_any_complaint").cast("int").alias("target"))
-    out = features.withColumn("_row", F.lit(True))
+    key = list(C.KEY)
+    labels = targets.select(
+        C.COHORT_ID, F.col("future_any_complaint").cast("int").alias("target"), F.struct(*key).alias("_key")
+    )
+    out = guards.unique(features.withColumn("_row", F.lit(True)), C.COHORT_ID, "the feature table")
     for part, said in ((labels, "target"), (split, "split")):
-        out = out.join(part.withColumn(f"_{said}", F.lit(True)), C.COHORT_ID, "full")
-    whole = F.col("_row") & F.col("_target") & F.col("_split")
-    checked = out.withColumn(C.COHORT_ID, F.when(F.coalesce(whole, F.lit(False)), F.col(C.COHORT_ID)).otherwise(
-        F.raise_error(F.concat(F.lit("features, targets and split differ at cohort "), C.COHORT_ID)).cast("string")
-    ))
-    return checked.drop("_row", "_target", "_split")
+        once = guards.unique(part.withColumn(f"_{said}", F.lit(True)), C.COHORT_ID, f"the {said} table")
+        out = out.join(once, C.COHORT_ID, "full")
+    whole = F.col("_row") & F.col("_target") & F.col("_split") & F.struct(*key).eqNullSafe(F.col("_key"))
+    said = F.concat(F.lit("features, targets and split differ at cohort "), C.COHORT_ID)
+    return guards.hold(out, whole, said).drop("_row", "_target", "_split", "_key")
 
 
 def alignment_mismatches(features: DataFrame, targets: DataFrame, split: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions import identity, numbers, ordered, text
+from cohortlens.operators import guards
 
 METADATA = ("replacement", "added", "document", "communicated", "campaign", "type", "summary")
 PRODUCT = ("source_id", "make", "model", "year")
@@ -24,8 +25,8 @@ def metadata_conflicts(rows: DataFrame) -> DataFrame:
 def documents(rows: DataFrame, source_file: str | None = None) -> DataFrame:
     """One row per document. Rows repeat per product and component; values are sets.
 
-    Rows of a document that disagree on document-level fields stop the run; ``metadata_conflicts`` lists
-    such documents beforehand.
+    Rows of a document that disagree on document-level fields stop the run, whichever columns are read;
+    ``metadata_conflicts`` lists such documents beforehand.
     """
     c = F.col
     # Only the distinct combinations of the set-valued columns go through the arrays.
@@ -42,8 +43,8 @@ def documents(rows: DataFrame, source_file: str | None = None) -> DataFrame:
         F.sum("_rows").alias("source_row_count"),
     )
     said = F.concat(F.lit("document-level fields differ within document "), F.coalesce("source_id", F.lit("null")))
-    agreed = F.when(c("_least") == c("_most"), c("source_id")).otherwise(F.raise_error(said).cast("string"))
-    grouped = grouped.select(agreed.alias("source_id"), "_least.*", *[n for n in grouped.columns if n[0] != "_" and n != "source_id"])
+    agreed = guards.hold(grouped, c("_least") == c("_most"), said)
+    grouped = agreed.select("_least.*", *[n for n in grouped.columns if n[0] != "_"])
     added, added_flag = text.flagged_date(c("added"), "date_added")
     sent, sent_flag = text.flagged_date(c("communicated"), "communication_date")
     return grouped.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions import identity, numbers, ordered, text
+from cohortlens.operators import guards
 
 FILING_FIELDS = (
     "manufacturer_id", "manufacturer_name", "report_id", "reporting_year", "reporting_quarter",
@@ -69,16 +70,22 @@ def period_conflicts(records: DataFrame) -> DataFrame:
 
 
 def latest_filings(records: DataFrame) -> DataFrame:
-    """One row per configuration: latest period, smallest id among equal periods."""
+    """One row per configuration: latest period, smallest id among equal periods.
+
+    Rows of a latest period that differ beyond their id stop the run; ``period_conflicts`` lists such
+    configurations beforehand. The least and the greatest of them come from the same grouping.
+    """
     rest = [n for n in records.columns if n not in CONFIGURATION]
-    ordering = F.struct(
-        (-F.col("reporting_year")).alias("y"),
-        (-F.col("reporting_quarter")).alias("q"),
-        (-F.col("report_id")).alias("r"),
-        F.col("source_record_id").alias("id"),
+    payload = F.struct(*[n for n in rest if n != "source_record_id"]).alias("payload")
+    latest = [F.col(n) for n in ("reporting_year", "reporting_quarter", "report_id")]
+    backwards = [(-n).alias(f"p{i}") for i, n in enumerate(latest)]
+    best = records.groupBy(*CONFIGURATION).agg(
+        F.min_by(F.struct(*rest), F.struct(*backwards, F.col("source_record_id").alias("id"))).alias("_row"),
+        F.min(F.struct(*backwards, payload))["payload"].alias("_least"),
+        F.max(F.struct(*[n.alias(f"p{i}") for i, n in enumerate(latest)], payload))["payload"].alias("_most"),
     )
-    best = records.groupBy(*CONFIGURATION).agg(F.min_by(F.struct(*rest), ordering).alias("_row"))
-    return best.select(*CONFIGURATION, "_row.*").select(*records.columns)
+    said = F.concat(F.lit("filings of one period differ: "), F.to_json(F.struct(*CONFIGURATION)))
+    return guards.hold(best, F.col("_least") == F.col("_most"), said).select(*CONFIGURATION, "_row.*").select(*records.columns)
 
 
 def aggregate_production(records: DataFrame) -> DataFrame:

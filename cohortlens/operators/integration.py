@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions import numbers, text
+from cohortlens.operators import guards
 
 CUTOFFS = (dt.date(2021, 12, 31), dt.date(2022, 12, 31), dt.date(2023, 12, 31))
 
@@ -96,7 +97,8 @@ def integrate(
 ) -> DataFrame:
     """One row per cohort with the values of all four sources (168 columns).
 
-    Every table must have the same cohorts, each once: one that a table lacks stops the run.
+    Every table must have the same cohorts, each once: one that a table lacks or has twice stops the run,
+    whichever columns are read.
     """
     c = F.col
     base = cohorts.select(*[c(n).alias(complaint_name(n)) for n in C.COHORT_FEATURE_COLUMNS])
@@ -117,15 +119,14 @@ def integrate(
             ("recall_match_status", "recall_match_status"), "recall_match_method",
         ),
     ]
-    base = base.withColumn("_row", F.lit(True))
-    for part in parts:
-        base = base.join(part, C.COHORT_ID, "full")
+    base = guards.unique(base.withColumn("_row", F.lit(True)), C.COHORT_ID, "the cohort table")
+    for part, name in zip(parts, ("production", "communications", "recalls"), strict=True):
+        base = base.join(guards.unique(part, C.COHORT_ID, name), C.COHORT_ID, "full")
     flags = ("has_production_match", "has_manufacturer_communications", "has_recall")
     # The flags are never null in their own table, so a null is a row without partner.
     whole = c("_row") & c(flags[0]).isNotNull() & c(flags[1]).isNotNull() & c(flags[2]).isNotNull()
     said = F.concat(F.lit("a source has no or another cohort "), C.COHORT_ID)
-    checked = F.when(F.coalesce(whole, F.lit(False)), c(C.COHORT_ID)).otherwise(F.raise_error(said).cast("string"))
-    base = base.withColumn(C.COHORT_ID, checked).drop("_row")
+    base = guards.hold(base, whole, said).drop("_row")
     sources = F.lit(1)
     for flag in flags:
         sources = sources + c(flag).cast("int")

@@ -48,7 +48,7 @@ def predictions(spark, folder) -> DataFrame:
 
 def prediction_pairs(spark, folder) -> DataFrame:
     rows = predictions(spark, folder)
-    return metrics.paired(rows.drop("p_right"), rows.withColumn("probability", c("p_right")))
+    return metrics.aligned(rows.drop("p_right"), rows.withColumn("probability", c("p_right")))
 
 
 # --- split and preprocessing ----------------------------------------------------------------

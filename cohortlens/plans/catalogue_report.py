@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.modeling import metrics, models
-from cohortlens.operators import communications, exposure, integration, matching
+from cohortlens.operators import asof, communications, exposure, integration, matching
 from cohortlens.plans import bindings as B
 from cohortlens.plans import catalogue_model
+from cohortlens.plans import sqltext as S
 from cohortlens.plans.catalogue_model import dataset
 from cohortlens.plans.registry import num, register
 
@@ -125,6 +127,67 @@ def identity_mismatches_seeded(spark, folder):
     })
 
 
+@register(
+    "filing_conflicts_seeded",
+    f"SELECT {S._CONF.replace('type_code', 'type_code AS vehicle_type_code')}, count(DISTINCT production_count) + 1 AS variants FROM "
+    "(SELECT DISTINCT * EXCLUDE (source_record_id, source_row_number) FROM canon QUALIFY rank() OVER "
+    f"(PARTITION BY {S._CONF} ORDER BY reporting_year DESC, reporting_quarter DESC, report_id DESC) = 1) "
+    f"WHERE manufacturer_id = 3 GROUP BY {S._CONF}",
+)
+def filing_conflicts_seeded(spark, folder):
+    """Every filing of one manufacturer is filed once more with other units."""
+    rows = exposure.canonical_filings(B.filings(spark, folder), B.NORMALIZE)
+    faulty = rows.where("manufacturer_id = 3").withColumn("production_count", F.lit(-1).cast("long"))
+    return exposure.period_conflicts(rows.unionByName(faulty))
+
+
+def _last(modulus: int) -> Column:
+    """Code of an id's last character, modulo a number."""
+    return F.ascii(F.substring(C.COHORT_ID, -1, 1)) % modulus
+
+
+@register(
+    "alignment_check_seeded",
+    "SELECT broad_vehicle_id FROM feat WHERE ascii(right(broad_vehicle_id, 1)) % 7 IN (1, 2, 3)",
+)
+def alignment_check_seeded(spark, folder):
+    """Some cohorts have another year in the targets, no target, or no split."""
+    rows = catalogue_model.dataset(spark, folder)
+    tgt = B.Evidence(spark, folder).targets.where(_last(7) != 2)
+    moved = tgt.withColumn("model_year", F.when(_last(7) == 1, F.col("model_year") + 1).otherwise(F.col("model_year")))
+    return models.alignment_mismatches(rows, moved, rows.select(C.COHORT_ID, "split").where(_last(7) != 3)).select(C.COHORT_ID)
+
+
+@register(
+    "history_reconciliation_seeded",
+    "SELECT broad_vehicle_id, CASE WHEN ascii(right(broad_vehicle_id, 1)) % 5 = 1 THEN historical_complaint_count + 1 "
+    "WHEN ascii(right(broad_vehicle_id, 1)) % 5 = 3 THEN historical_complaint_count END AS rebuilt, "
+    "CASE WHEN ascii(right(broad_vehicle_id, 1)) % 5 IN (1, 2) THEN historical_complaint_count END AS target FROM tgt "
+    "WHERE ascii(right(broad_vehicle_id, 1)) % 5 IN (1, 2, 3)",
+)
+def history_reconciliation_seeded(spark, folder):
+    """Some cohorts have a complaint more in the rebuilt history, no rebuilt history, or no target."""
+    e = B.Evidence(spark, folder)
+    count = F.col("historical_complaint_count")
+    built = asof.complaint_features(e.events, e.targets, B.CUTOFF).where(_last(5) != 2)
+    more = built.withColumn("historical_complaint_count", F.when(_last(5) == 1, count + 1).otherwise(count))
+    return asof.history_mismatches(more, e.targets.where(_last(5) != 3))
+
+
+@register(
+    "pair_alignment_seeded",
+    "SELECT cohort_id, CASE WHEN ascii(right(cohort_id, 1)) % 5 = 3 THEN NULL ELSE target END AS y_left, "
+    "CASE WHEN ascii(right(cohort_id, 1)) % 5 = 1 THEN 1 - target WHEN ascii(right(cohort_id, 1)) % 5 = 2 THEN NULL ELSE target END AS y_right "
+    "FROM pred WHERE ascii(right(cohort_id, 1)) % 5 IN (1, 2, 3)",
+)
+def pair_alignment_seeded(spark, folder):
+    """Some predictions have another label in the second table or are in one of the two only."""
+    rows = catalogue_model.predictions(spark, folder)
+    last = F.ascii(F.substring("cohort_id", -1, 1)) % 5
+    other = rows.where(last != 2).withColumn("target", F.when(last == 1, 1 - F.col("target")).otherwise(F.col("target")))
+    return metrics.misaligned(metrics.paired(rows.where(last != 3), other)).select("cohort_id", "y_left", "y_right")
+
+
 # --- what must hold for fitted models ---------------------------------------------------------------------------
 
 
