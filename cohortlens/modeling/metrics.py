@@ -78,6 +78,11 @@ def metrics_of_histogram(
         F.sum(F.when(pos > 0, pos * seen_pos / seen)).alias("_precision_sum"),
         F.sum(pos * (1 - s) * (1 - s) + neg * s * s).alias("_squares"),
     )
+    return metrics_of_sums(sums, groups, threshold)
+
+
+def metrics_of_sums(sums: DataFrame, groups: Sequence[str], threshold: float = C.THRESHOLD) -> DataFrame:
+    """The metrics from confusion counts and the sums ``_wins``, ``_precision_sum`` and ``_squares``."""
     p, q = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
     return sums.select(
         *groups,
