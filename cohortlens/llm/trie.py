@@ -170,27 +170,25 @@ def _rollup(rows: DataFrame, measures: dict[str, str], by_level: dict[str, list[
     )
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (f1, f2, conv_id) to pieces of comma-joined ids: (f1, f2, first, ids)."""
-    key, ids, out = None, [], []
-
-    def close() -> None:
+def _lists(size: int):
+    """Sorted (f1, f2, conv_id) to pieces of ``size`` comma-joined ids: (f1, f2, first, ids)."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, out = None, [], []
+        for batch in batches:
+            for f1, f2, conv_id in zip(*[batch.column(c).to_pylist() for c in ("f1", "f2", "conv_id")], strict=True):
+                if (f1, f2) != key or len(ids) == size:
+                    if ids:
+                        out.append((*key, ids[0], ",".join(map(str, ids))))
+                    key, ids = (f1, f2), []
+                ids.append(conv_id)
+            if out:
+                yield _batch(out)
+                out = []
         if ids:
-            out.append((*key, ids[0], ",".join(map(str, ids))))
-            ids.clear()
+            yield _batch([(*key, ids[0], ",".join(map(str, ids)))])
 
-    for batch in batches:
-        for f1, f2, conv_id in zip(*[batch.column(c).to_pylist() for c in ("f1", "f2", "conv_id")], strict=True):
-            if (f1, f2) != key or len(ids) == PIECE:
-                close()
-                key = (f1, f2)
-            ids.append(conv_id)
-        if out:
-            yield _batch(out)
-            out = []
-    close()
-    if out:
-        yield _batch(out)
+    return join
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -241,7 +239,7 @@ def _end_digests(rows: DataFrame) -> DataFrame:
         f1, f2 = (f.bitwiseXOR(F.when(F.col("here") > i, m).otherwise(F.lit(0).cast("long"))) for f, m in ((f1, mark1), (f2, mark2)))
     ends = rows.where("ends_at is not null").select(f1.alias("f1"), f2.alias("f2"), "conv_id")
     order = ["f1", "f2", "conv_id"]
-    pieces = ends.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_lists, "f1 long, f2 long, first long, ids string")
+    pieces = ends.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_lists(PIECE), "f1 long, f2 long, first long, ids string")
     whole = pieces.repartition("f1", "f2").sortWithinPartitions("f1", "f2", "first")
     return whole.mapInArrow(_digests, "f1 long, f2 long, ends_sha256 string")
 
