@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Model
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions import ordered
+from cohortlens.modeling import forest
 from cohortlens.modeling import metrics as M
+from cohortlens.session import stage
 
 
 def _permuted(rows: DataFrame, repeats: int, seed: int) -> DataFrame:
@@ -35,39 +39,64 @@ def _permuted(rows: DataFrame, repeats: int, seed: int) -> DataFrame:
 
 
 def permutation_importance(
-    model: Model, rows: DataFrame, groups: dict[str, Sequence[int]], *, repeats: int = 5, seed: int = C.SEED
+    model: RandomForestClassificationModel, rows: DataFrame, groups: dict[str, Sequence[int]], *, repeats: int = 5,
+    seed: int = C.SEED, most: int = forest.SHARD_NODES,
 ) -> DataFrame:
     """Mean and spread of the ROC-AUC decrease per group of vector positions.
 
-    A group of one position is a feature; a longer one is a family moved together.
-    All groups and repeats are scored in one pass.
+    A group of one position is a feature; a longer one is a family moved together. Every row walks every tree once;
+    for each group only the trees that split on one of its features are walked again with the donor's values. A row
+    and repeat stays one row, with a probability for each group, until the scores are counted.
     """
     c = F.col
-    both = _permuted(rows, repeats, seed)
-    listed = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.array(*[F.lit(i) for i in positions]).alias("at"))
-            for name, positions in groups.items()
-        ]
+    both = _permuted(rows, repeats, seed).select("target", "repeat", "x", "donor")
+    width = len(groups) + 1
+    moved = forest.added_by_row(
+        both, forest.node_table(model, rows.sparkSession), _moving([list(g) for g in groups.values()], model.getNumTrees), width, most
     )
-    long = both.select("target", "repeat", "x", "donor", F.explode(listed).alias("g"))
-    mixed = F.transform(
-        c("x"), lambda v, i: F.when(F.array_contains(c("g.at"), i), F.get(c("donor"), i)).otherwise(v)
+    # The order of a sum shows in its last digits only; without them rows of equal leaves tie.
+    long = moved.select("target", "repeat", F.posexplode("sums").alias("place", "p")).select(
+        "target", "repeat", "place", F.round("p", 12).alias("probability")
     )
-    vectors = long.select("target", "repeat", c("g.name").alias("feature"), array_to_vector(mixed).alias("features"))
-    scored = model.transform(vectors).select(
-        "target", "repeat", "feature", vector_to_array("probability")[1].alias("probability")
-    )
-    auc = M.binary_metrics(scored, ["feature", "repeat"]).select("feature", "repeat", "roc_auc")
-    base = model.transform(rows).select("target", vector_to_array("probability")[1].alias("probability"))
-    intact = M.binary_metrics(base).select(c("roc_auc").alias("intact")).first()["intact"]
-    return auc.groupBy("feature").agg(
+    measured = stage(M.binary_metrics(long, ["place", "repeat"]).select("place", "repeat", "roc_auc"), "importance-auc")
+    # The last place is the intact row, the same in each repeat.
+    intact = measured.where(c("place") == len(groups)).agg(F.max("roc_auc").alias("intact")).first()["intact"]
+    names = F.get(F.array(*[F.lit(n) for n in groups]), c("place"))
+    return measured.where(c("place") < len(groups)).groupBy(names.alias("feature")).agg(
         F.count("*").alias("repeats"),
-        (F.lit(intact) - F.avg("roc_auc")).alias("mean_roc_auc_decrease"),
+        (F.lit(intact).cast("double") - F.avg("roc_auc")).alias("mean_roc_auc_decrease"),
         F.stddev_pop("roc_auc").alias("standard_deviation"),
     )
 
 
+def _moving(groups: list[list[int]], trees: int):
+    """For each row of a batch the shard's part of its probability, with each group moved and last intact."""
+
+    def over(shared):
+        users: dict[str, list[list[int]]] = {}
+
+        def walk(batch: pd.DataFrame) -> np.ndarray:
+            n = shared.value
+            if "of" not in users:
+                used = forest.used_features(n)
+                users["of"] = [[t for t, own in enumerate(used) if not own.isdisjoint(g)] for g in groups]
+            x, donor = (np.vstack(batch[name].to_numpy()) for name in ("x", "donor"))
+            leaves = np.stack([n["value"][forest.descend(n, root, x)] for root in n["root"]], axis=1)
+            out = np.empty((len(x), len(groups) + 1))
+            out[:, -1] = leaves.sum(axis=1) / trees
+            for place, (group, own) in enumerate(zip(groups, users["of"], strict=True)):
+                mixed, changed = x.copy(), leaves.copy()
+                mixed[:, group] = donor[:, group]
+                for t in own:
+                    changed[:, t] = n["value"][forest.descend(n, n["root"][t], mixed)]
+                out[:, place] = changed.sum(axis=1) / trees
+            return out
+
+        return walk
+
+    return over
+
+
 def family_positions(outputs: Sequence[str]) -> dict[str, list[int]]:
     """Vector positions per feature family, missing indicators with their feature."""
     from cohortlens.modeling.preprocess import feature_family
