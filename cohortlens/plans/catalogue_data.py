@@ -491,13 +491,14 @@ def metadata_conflicts(spark, folder):
     "two_view_audit",
     "SELECT 'identifier' AS grain, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS overlap_count, "
     "count(*) FILTER (b IS NULL) AS first_only_count, count(*) FILTER (a IS NULL) AS second_only_count FROM "
-    "(SELECT DISTINCT source_id AS a FROM commrows) FULL JOIN (SELECT DISTINCT source_id AS b FROM products) ON a = b UNION ALL "
+    "(SELECT DISTINCT source_id AS a FROM commrows) FULL JOIN (SELECT DISTINCT source_id AS b FROM late_products) ON a = b UNION ALL "
     "SELECT 'product', count(*) FILTER (a IS NOT NULL AND b IS NOT NULL), count(*) FILTER (b IS NULL), count(*) FILTER (a IS NULL) FROM "
-    "(SELECT DISTINCT (source_id, make, model, year) AS a FROM commrows) FULL JOIN (SELECT DISTINCT (source_id, make, model, year) AS b FROM products) ON a = b",
+    "(SELECT DISTINCT (source_id, make, model, year) AS a FROM commrows) FULL JOIN (SELECT DISTINCT (source_id, make, model, year) AS b FROM late_products) ON a = b",
 )
 def two_view_audit(spark, folder):
     return communications.audit_views(
-        B.communication_rows(spark, folder), communications.compact_products(B.compact_rows(spark, folder))
+        B.communication_rows(spark, folder),
+        communications.compact_products(B.compact_rows(spark, folder, since=B.COMPACT_FROM)),
     )
 
 
@@ -986,13 +987,13 @@ def history_reconciliation(spark, folder):
     " UNION ALL ".join(
         f"SELECT '{n}' AS name, count(*) AS \"rows\", sum(('0x' || substr(sha256({row}), 1, 15))::BIGINT)::HUGEINT::VARCHAR AS checksum FROM {n}"
         for n, row in (
-            ("supplier", "'{\"s_suppkey\":' || s_suppkey || ',\"s_name\":\"' || s_name || '\",\"s_nationkey\":' || s_nationkey || '}'"),
+            ("supplier", "'{\"s_suppkey\":' || s_suppkey || ',\"s_name\":\"' || s_name || '\",\"s_nationkey\":' || s_nationkey || ',\"s_acctbal\":' || s_acctbal || '}'"),
             ("labels", "'{\"doc_id\":' || doc_id || ',\"quality\":' || quality || ',\"toxic\":' || toxic || '}'"),
         )
     ),
 )
 def table_fingerprint(spark, folder):
-    suppliers = tables.fingerprint(B.table(spark, folder, "supplier").drop("s_acctbal"))
+    suppliers = tables.fingerprint(B.table(spark, folder, "supplier"))
     labels = tables.fingerprint(B.table(spark, folder, "labels"))
     return suppliers.select(F.lit("supplier").alias("name"), "*").unionByName(
         labels.select(F.lit("labels").alias("name"), "*")

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
-from cohortlens.functions import text
+from cohortlens.functions import ordered, text
 from cohortlens.operators import profiling
 from cohortlens.plans import bindings as B
 from cohortlens.plans import sqltext as S
 from cohortlens.plans.registry import day, num, register
-from cohortlens.session import stage_path
+from cohortlens.session import stage, stage_path
 from cohortlens.sources import readers
 
 c = F.col
 P = profiling.PERCENTILES
+#: Filings of one report.
+REPORT_ROWS = 1000
 
 
 def _q(x: str, prefix: str = "p") -> str:
@@ -289,15 +291,20 @@ def scan_recall_tsv(spark, folder):
 
 @register(
     "scan_communication_tsv",
-    "SELECT type, count(*) AS \"rows\", count(campaign) AS campaigns, count(system) AS systems FROM commrows WHERE summary <> '' GROUP BY 1",
+    "SELECT type, count(*) FILTER (summary <> '') AS \"rows\", count(campaign) FILTER (summary <> '') AS campaigns, "
+    "count(system) FILTER (summary <> '') AS systems, count(*) FILTER (summary = '') AS rejected FROM commrows GROUP BY 1",
 )
 def scan_communication_tsv(spark, folder):
-    """Rows with an empty required summary are not published, so they are not written."""
-    raw = B.communication_rows(spark, folder).where("summary <> ''")
+    """Every row is written; those with an empty required summary break a rule of the reader."""
+    raw = B.communication_rows(spark, folder)
     path = _write_lines(raw, stage_path(spark, "communication-files"), C.COMMUNICATION_COLUMNS, encoding="UTF-8")
-    rows = readers.checked(readers.read_communications(spark, path), readers.communication_rules())
-    return rows.groupBy("type").agg(
-        F.count("*").alias("rows"), F.count("campaign").alias("campaigns"), F.count("system").alias("systems")
+    rows = readers.read_communications(spark, path)
+    broken = F.lit(False)
+    for rule in readers.communication_rules().values():
+        broken = broken | F.coalesce(rule, F.lit(False))
+    return rows.withColumn("broken", broken).groupBy("type").agg(
+        F.count_if(~c("broken")).alias("rows"), F.count_if(~c("broken") & c("campaign").isNotNull()).alias("campaigns"),
+        F.count_if(~c("broken") & c("system").isNotNull()).alias("systems"), F.count_if("broken").alias("rejected"),
     )
 
 
@@ -322,49 +329,40 @@ def scan_repeated_header_csv(spark, folder):
     "FROM filings GROUP BY ALL",
 )
 def scan_filing_json(spark, folder):
-    """One JSON report per (manufacturer, year, quarter, slice), with a manifest.
+    """Reports of one JSON document a file, listed by a manifest with checksums.
 
-    A report of a large period is cut into slices by order, so no report gathers an
-    unbounded number of rows. The source accepts years from 2000 on, so the shared
-    tables' years are moved by 20.
+    Filings of a (manufacturer, year, quarter) are numbered and cut into reports of `REPORT_ROWS`, so no report gathers
+    an unbounded number of rows. The source accepts years from 2000 on, so the shared tables' years are moved by 20.
     """
-    filed = B.filings(spark, folder).withColumns(
-        {
-            "slice": (F.pmod(F.xxhash64("report_id"), F.lit(16)) + 1).cast("int"),
-            "reporting_year": c("reporting_year") + 20,
-        }
-    )
-    keys = ["manufacturer_id", "reporting_year", "reporting_quarter", "slice"]
+    period = ["manufacturer_id", "reporting_year", "reporting_quarter"]
+    filed = B.filings(spark, folder).withColumn("reporting_year", c("reporting_year") + 20)
+    numbered = ordered.positions(
+        filed.withColumn("_h", ordered.hash_key("report", c("report_id"), c("source_row_number"))), period, "_h"
+    ).withColumn("report_id", (F.floor(c("position") / REPORT_ROWS) + 1).cast("int"))
+    keys = [*period, "report_id"]
     entry = F.struct(
         c("fuel_propulsion_system").alias("fuelPropulsionSystem"), "make", "model", c("model_year").alias("modelYear"),
         "platform", c("report_category").alias("reportCategory"), c("total_production").alias("totalProduction"),
         c("type_code").alias("typeCode"),
     )
-    reports = filed.groupBy(*keys).agg(
-        F.collect_list(entry).alias("results"), F.count("*").alias("total"),
-        F.min("manufacturer_name").alias("manufacturer_name"),
-    )
-    documents = reports.select(
-        *keys, "manufacturer_name",
-        F.struct(
-            F.struct(F.struct(F.lit(None).cast("string").alias("nextUrl"), "total").alias("pagination")).alias("meta"),
-            "results",
-        ).alias("body"),
+    pagination = F.struct(F.lit(None).cast("string").alias("nextUrl"), F.count(F.lit(1)).alias("total"))
+    body = F.struct(F.struct(pagination.alias("pagination")).alias("meta"), F.collect_list(entry).alias("results"))
+    reports = stage(
+        numbered.groupBy(*keys).agg(F.to_json(body).alias("value"), F.min("manufacturer_name").alias("manufacturer_name"))
+        .withColumn("name", F.concat(F.lit(readers.REPORT_PREFIX), F.concat_ws("-", *keys))),
+        "filing-reports",
     )
     path = stage_path(spark, "filing-documents")
-    documents.write.mode("errorifexists").json(path)
-    from cohortlens.schemas import PRODUCTION_DOCUMENT
-    from pyspark.sql import types as T
-
-    shape = T.StructType(
-        [T.StructField(k, T.IntegerType()) for k in keys]
-        + [T.StructField("manufacturer_name", T.StringType()), T.StructField("body", PRODUCTION_DOCUMENT)]
+    reports.select("value", c("name").alias("report")).repartition("report").write.mode("errorifexists").partitionBy("report").text(path)
+    # A report is a folder of one file, whose name is Spark's; the listing reads no contents.
+    root = path.rsplit("/", 1)[-1]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        F.substring_index("path", f"/{root}/", -1).alias("filename")
+    ).withColumn("name", F.regexp_extract("filename", "^report=([^/]+)/", 1))
+    manifest = files.join(reports, "name").select(
+        "filename", F.sha2(F.concat("value", F.lit("\n")).cast("binary"), 256).alias("sha256"), "manufacturer_name", *keys
     )
-    back = spark.read.schema(shape).option("mode", "FAILFAST").json(path)
-    rows = readers.production_rows(back.select(
-        "manufacturer_id", "manufacturer_name", c("slice").alias("report_id"), "reporting_year", "reporting_quarter",
-        c("body.meta").alias("meta"), c("body.results").alias("results"), F.lit(None).cast("string").alias(readers.CORRUPT),
-    ))
+    rows = stage(readers.read_production(spark, path, manifest), "filing-rows")
     return readers.checked(rows, readers.production_rules()).groupBy("reporting_year", "reporting_quarter").agg(
         F.count("*").alias("rows"), F.sum("total_production").alias("units"), F.count("platform").alias("platforms")
     )

@@ -352,8 +352,10 @@ CTES["cev"] = _evidence(
     "cjoin", C.COMMUNICATION_EVIDENCE_VALUES, "unique_communication_count",
     "manufacturer_communication_match_status",
 )
-CTES["compact"] = "SELECT " + _rules(B.COMPACT_RULES) + f" FROM line2 WHERE l_shipdate >= TIMESTAMP '{B.COMPACT_FROM}'"
+CTES["compact"] = "SELECT " + _rules(B.COMPACT_RULES) + " FROM line2"
 CTES["products"] = "SELECT source_id, make, model, unnest(string_split(years, ',')) AS year FROM compact"
+CTES["late_compact"] = "SELECT " + _rules(B.COMPACT_RULES) + f" FROM line2 WHERE l_shipdate >= TIMESTAMP '{B.COMPACT_FROM}'"
+CTES["late_products"] = "SELECT source_id, make, model, unnest(string_split(years, ',')) AS year FROM late_compact"
 
 # --- recalls -----------------------------------------------------------------------------------
 CTES["recrows"] = "SELECT\n  " + _rules(

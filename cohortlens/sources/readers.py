@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,19 +119,11 @@ def communication_rules() -> dict[str, Column]:
 
 
 def read_compact(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Quoted five-column CSV whose header line may come again between the rows."""
+    """Quoted five-column CSV whose header line may come again between the rows; any file is read by many tasks."""
     wide = T.StructType([*schemas.COMPACT_SOURCE.fields, T.StructField(CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(wide)
-        .option("header", "false")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", "true")
-        .option("encoding", "UTF-8")
-        .option("columnPruning", "false")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path if isinstance(path, str) else list(path))
-    )
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "maxCharsPerColumn": "-1"}
+    shape = ", ".join(f"`{f.name}` string" for f in wide.fields)
+    raw = quoted_records(spark, path).select(F.from_csv("record", shape, options).alias("r")).select("r.*")
     is_header = F.lit(True)
     for name in C.COMPACT_COLUMNS:
         is_header = is_header & F.col(f"`{name}`").eqNullSafe(F.lit(name))
@@ -141,26 +133,104 @@ def read_compact(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+def quoted_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The records of quoted text files, one in a row, where a quoted field may hold line feeds.
+
+    Lines are read in splits. Whether a line begins inside quotes follows from the number of quotes before it: the
+    parity within its split, and that of the splits before, which are summed by split. A line that begins outside
+    begins a record; lines that begin inside belong to the last one that did. Only records of several lines are
+    gathered. A carriage return at the end of a record is dropped, and empty records are no records.
+    """
+    lines = (
+        spark.read.option("lineSep", "\n").text(path if isinstance(path, str) else list(path))
+        .select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"),
+            (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"),
+        )
+    )
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    before = F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    local = lines.withColumn("odd", before)
+    # Of each split: its quotes, and the last line that begins a record if the split begins outside or inside quotes.
+    splits = local.groupBy("file", "split").agg(
+        (F.sum("quotes") % 2).alias("odd"),
+        *[F.max(F.when(F.col("odd") == n, F.col("at"))).alias(f"last_{n}") for n in (0, 1)],
+    )
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    opened = splits.withColumn("within", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    last = F.when(F.col("within") == 0, F.col("last_0")).otherwise(F.col("last_1"))
+    known = opened.select(
+        F.col("file").alias("s_file"), F.col("split").alias("s_split"), "within",
+        F.last(last, ignorenulls=True).over(earlier).alias("carried"),
+    )
+    joined = local.join(known, (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split")))
+    placed = joined.withColumn("starts", (F.col("odd") + F.col("within")) % 2 == 0)
+    alone = F.col("starts") & (F.col("quotes") % 2 == 0)
+    here = F.last(F.when(F.col("starts"), F.col("at")), ignorenulls=True).over(inside)
+    several = placed.withColumn("first", F.coalesce(here, F.col("carried"))).where(~alone)
+    gathered = several.groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("parts")).select(
+        F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("record")
+    )
+    records = placed.where(alone).select(F.col("line").alias("record")).unionByName(gathered)
+    return records.select(F.regexp_replace("record", "\r$", "").alias("record")).where("record != ''")
+
+
 def compact_rules() -> dict[str, Column]:
     return {**width_rule(), **required_rules(("source_id", "make", "model", "years", "summary"))}
 
 
+#: Names of reports start with this; other files of a manifest are checked but not parsed.
+REPORT_PREFIX = "production-report-"
+ARTIFACT = (
+    "filename string, sha256 string, manufacturer_id int, manufacturer_name string, reportId int, "
+    "reporting_year int, reporting_quarter int"
+)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each file that a snapshot's manifest lists.
+
+    The manifest is one JSON document with the array ``artifacts``; a document without it, or one that says it is
+    not complete, is refused.
+    """
+    shape = f"complete_for_selected_scope boolean, artifacts array<struct<{ARTIFACT.replace(' string', ':string').replace(' int', ':int')}>>"
+    document = spark.read.schema(f"{shape}, {CORRUPT} string").option("multiLine", "true").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    first = document.select(CORRUPT, F.col("artifacts").isNull().alias("empty"), "complete_for_selected_scope").first()
+    if first is None or first[CORRUPT] is not None or first["empty"]:
+        raise SourceError(f"{path} is not a manifest")
+    if first["complete_for_selected_scope"] is False:
+        raise SourceError(f"{path} lists an incomplete snapshot")
+    rows = document.select(F.explode("artifacts").alias("a")).select("a.*").withColumnRenamed("reportId", "report_id")
+    return checked(rows, {"blank_filename": text.is_blank(F.col("filename"))})
+
+
 def read_production(spark: SparkSession, paths: str | Sequence[str], manifest: DataFrame) -> DataFrame:
-    """One row per entry of every production report, with the report's context.
+    """One row per entry of every production report that a manifest lists, with the report's context.
 
-    ``manifest`` has one row per file: filename, manufacturer_id, manufacturer_name,
-    report_id, reporting_year, reporting_quarter. Each file is one JSON document.
+    ``manifest`` has one row per file: filename, manufacturer_id, manufacturer_name, report_id, reporting_year,
+    reporting_quarter, and sha256 if contents are to be checked. Each file is one JSON document, named by its place
+    below the given folder. A listed file that is not there, or has other bytes, keeps one row for the rules;
+    files that are not listed are not parsed.
     """
-    documents = (
-        spark.read.schema(
-            T.StructType([*schemas.PRODUCTION_DOCUMENT.fields, T.StructField(CORRUPT, T.StringType())])
-        )
-        .option("multiLine", "true")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(paths if isinstance(paths, str) else list(paths))
-        .withColumn("filename", F.col("_metadata.file_name"))
+    given = [paths] if isinstance(paths, str) else list(paths)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(given)
+    below = F.regexp_extract("path", "([^/]+)$", 1)
+    for root in given:
+        name = root.rstrip("/").rsplit("/", 1)[-1]
+        inside = F.substring_index("path", f"/{name}/", -1)
+        below = F.when(F.contains("path", F.lit(f"/{name}/")), inside).otherwise(below)
+    found = files.select(below.alias("filename"), "content", F.lit(True).alias("_found"))
+    listed = manifest if "sha256" in manifest.columns else manifest.withColumn("sha256", F.lit(None).cast("string"))
+    shape = T.StructType([*schemas.PRODUCTION_DOCUMENT.fields, T.StructField(CORRUPT, T.StringType())])
+    is_report = F.substring_index("filename", "/", 1).contains(REPORT_PREFIX)
+    text_ = F.when(is_report, F.decode("content", "UTF-8"))
+    documents = listed.join(found, "filename", "left").select(
+        *[F.col(f"`{n}`") for n in listed.columns], F.coalesce("_found", F.lit(False)).alias("_found"), is_report.alias("_report"),
+        (F.col("sha256").isNull() | (F.sha2("content", 256) == F.col("sha256"))).alias("_same"),
+        F.from_json(text_, shape, {"columnNameOfCorruptRecord": CORRUPT}).alias("_document"),
     )
-    return production_rows(documents.join(manifest, "filename"))
+    return production_rows(documents.where("_report OR NOT _found OR NOT _same").select("*", "_document.*"))
 
 
 def production_rows(reports: DataFrame) -> DataFrame:
@@ -175,6 +245,8 @@ def production_rows(reports: DataFrame) -> DataFrame:
         F.col("meta.pagination.total").alias("_total"),
         F.col("meta.pagination.nextUrl").alias("_next"),
         F.col("meta.pagination").isNotNull().alias("_paged"),
+        "_found",
+        "_same",
         F.posexplode_outer("results").alias("_position", "r"),
     )
     return rows.select(
@@ -188,7 +260,7 @@ def production_rows(reports: DataFrame) -> DataFrame:
         F.col("r.totalProduction").alias("total_production"),
         F.col("r.typeCode").alias("type_code"),
         (F.col("_position") + 1).alias("source_row_number"),
-        "_listed", "_total", "_next", "_paged", CORRUPT,
+        "_listed", "_total", "_next", "_paged", "_found", "_same", CORRUPT,
     )
 
 
@@ -197,7 +269,9 @@ def production_rules() -> dict[str, Column]:
     c = F.col
     listed = c("source_row_number").isNotNull()
     return {
-        "not_a_report": c(CORRUPT).isNotNull() | (c("_listed") < 0),
+        "missing_file": ~c("_found"),
+        "checksum_mismatch": c("_found") & ~c("_same"),
+        "not_a_report": c("_found") & (c(CORRUPT).isNotNull() | c("_listed").isNull() | (c("_listed") < 0)),
         "incomplete_report": c("_paged") & (c("_next").isNotNull() | ~c("_total").eqNullSafe(c("_listed"))),
         "invalid_quarter": ~c("reporting_quarter").between(1, 4),
         "invalid_year": c("reporting_year") < 2000,
