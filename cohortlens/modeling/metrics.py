@@ -155,15 +155,20 @@ def threshold_sensitivity(
     df: DataFrame, thresholds: Sequence[float] = C.SENSITIVITY_THRESHOLDS
 ) -> DataFrame:
     """Precision, recall, F1 and confusion counts at fixed thresholds."""
+    return thresholds_of_histogram(score_histogram(df), (), thresholds)
+
+
+def thresholds_of_histogram(
+    histogram: DataFrame, groups: Sequence[str] = (), thresholds: Sequence[float] = C.SENSITIVITY_THRESHOLDS
+) -> DataFrame:
     grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    expanded = score_histogram(df).select("s", "pos", "neg", grid)
-    counted = expanded.groupBy("threshold").agg(
+    counted = histogram.select(*groups, "s", "pos", "neg", grid).groupBy(*groups, "threshold").agg(
         *[column.alias(name) for name, column in _confusion(F.col("threshold")).items()]
     )
     rates = _rates()
     names = ("predicted_positive_prevalence", "precision", "recall", "f1")
     return counted.select(
-        "threshold", *[rates[n].alias(n) for n in names], "tn", "fp", "fn", "tp"
+        *groups, "threshold", *[rates[n].alias(n) for n in names], "tn", "fp", "fn", "tp"
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Model
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.modeling import metrics as M
-from cohortlens.modeling.preprocess import ImputeScale, one_hot
+from cohortlens.modeling.preprocess import ImputeScale, Preprocess, one_hot
 from cohortlens.operators import guards
 from cohortlens.session import stage
 
@@ -165,6 +166,26 @@ class Fitted:
     prepared: DataFrame
     preprocessing: ImputeScale
     metrics: dict[str, dict[str, float]]
+    #: Partitions the training rows were dealt to; tree bagging depends on it.
+    partitions: int = 0
+
+    def pipeline(self) -> PipelineModel:
+        """Preprocessing and model as one; numeric columns only."""
+        if list(self.prepared.select("features").first()["features"].toArray().shape) != [len(self.preprocessing.outputs)]:
+            raise ValueError("one-hot columns have no place in the saved pipeline")
+        return PipelineModel([Preprocess(self.preprocessing), self.model])
+
+    def save(self, path: str) -> None:
+        """Write the pipeline once, with a line that says what was chosen and how it was trained."""
+        spark = self.prepared.sparkSession
+        self.pipeline().write().save(f"{path}/pipeline")
+        told = {"candidate": self.candidate, "training_partitions": self.partitions, "validation": self.metrics["VALIDATION"]}
+        spark.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/chosen")
+
+
+def load_chosen(spark, path: str) -> tuple[PipelineModel, dict[str, object]]:
+    """The pipeline that `Fitted.save` wrote, and what it says about itself."""
+    return PipelineModel.load(f"{path}/pipeline"), json.loads(spark.read.text(f"{path}/chosen").first()["value"])
 
 
 def prepare_inputs(
@@ -183,16 +204,18 @@ def prepare_inputs(
     return stage(kept, "model-inputs"), fitted
 
 
-#: Partitions of the training rows. Tree bagging is seeded for each partition, so the number is fixed:
-#: the same rows give the same model on any cluster. A larger table is given a larger number by the caller.
-TRAINING_PARTITIONS = 8
+#: Training rows of one partition at most, on average, and the least number of partitions. Tree bagging is seeded for
+#: each partition, so the number follows from the rows alone: the same rows give the same model on any cluster.
+ROWS_PER_PARTITION = 50_000
+LEAST_PARTITIONS = 8
 
 
-def training_rows(rows: DataFrame, partitions: int = TRAINING_PARTITIONS) -> tuple[DataFrame, int]:
-    """TRAIN rows and their number, dealt by cohort id to a fixed number of partitions."""
+def training_rows(rows: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> tuple[DataFrame, int, int]:
+    """TRAIN rows, dealt by cohort id, their number and that of their partitions."""
     train = rows.where("split = 'TRAIN'")
-    dealt = train.repartition(partitions, C.COHORT_ID).sortWithinPartitions(C.COHORT_ID)
-    return dealt, train.count()
+    n = train.count()
+    partitions = max(LEAST_PARTITIONS, -(-n // rows_per_partition))
+    return train.repartition(partitions, C.COHORT_ID).sortWithinPartitions(C.COHORT_ID), n, partitions
 
 
 def _metrics_by_split(scored: DataFrame) -> dict[str, dict[str, float]]:
@@ -200,15 +223,12 @@ def _metrics_by_split(scored: DataFrame) -> dict[str, dict[str, float]]:
     return {r["split"]: {k: v for k, v in r.asDict().items() if k != "split"} for r in rows}
 
 
-def evaluate_candidates(
+def evaluate_each(
     dataset: DataFrame, columns: Sequence[str], candidates: Sequence[Candidate],
-    known: ImputeScale | None = None,
-) -> Fitted:
-    """Fit on TRAIN, choose on VALIDATION by ROC-AUC, then average precision, then F1.
-
-    TEST is only reported. The first candidate wins a tie.
-    """
-    best: Fitted | None = None
+    known: ImputeScale | None = None, *, rows_per_partition: int = ROWS_PER_PARTITION,
+) -> list[Fitted]:
+    """Every candidate fitted on TRAIN and measured on all splits; inputs are prepared once for each scaling."""
+    out: list[Fitted] = []
     inputs: dict[bool, tuple[DataFrame, ImputeScale]] = {}
     for candidate in candidates:
         if candidate.scale not in inputs:
@@ -216,15 +236,23 @@ def evaluate_candidates(
                 dataset, columns, scale=candidate.scale, known=known
             )
         rows, fitted = inputs[candidate.scale]
-        train, n = training_rows(rows)
+        train, n, partitions = training_rows(rows, rows_per_partition)
         width = len(rows.select("features").first()["features"])
         model = candidate.build(n, width).fit(train)
-        measured = _metrics_by_split(score(model, rows))
-        chosen = measured["VALIDATION"]
-        rank = (chosen["roc_auc"] or 0.0, chosen["pr_auc"], chosen["f1"])
-        if best is None or rank > _rank(best):
-            best = Fitted(candidate.name, model, rows, fitted, measured)
-    return best
+        out.append(Fitted(candidate.name, model, rows, fitted, _metrics_by_split(score(model, rows)), partitions))
+    return out
+
+
+def evaluate_candidates(
+    dataset: DataFrame, columns: Sequence[str], candidates: Sequence[Candidate],
+    known: ImputeScale | None = None, *, rows_per_partition: int = ROWS_PER_PARTITION,
+) -> Fitted:
+    """Fit on TRAIN, choose on VALIDATION by ROC-AUC, then average precision, then F1.
+
+    TEST is only reported. The first candidate wins a tie.
+    """
+    fits = evaluate_each(dataset, columns, candidates, known, rows_per_partition=rows_per_partition)
+    return max(fits, key=_rank)
 
 
 def _rank(fit: Fitted) -> tuple[float, float, float]:
@@ -272,10 +300,11 @@ def ablation(dataset: DataFrame, experiments: dict[str, list[str]] | None = None
 
 
 def seed_robustness(
-    rows: DataFrame, build: Callable[[int, int, int], object], seeds: Sequence[int]
+    rows: DataFrame, build: Callable[[int, int, int], object], seeds: Sequence[int], *,
+    rows_per_partition: int = ROWS_PER_PARTITION,
 ) -> DataFrame:
     """Validation metrics of one configuration refitted per seed: mean and spread."""
-    train, n = training_rows(rows)
+    train, n, _ = training_rows(rows, rows_per_partition)
     held = rows.where("split = 'VALIDATION'")
     width = len(rows.select("features").first()["features"])
     scored = None

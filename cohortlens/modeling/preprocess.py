@@ -6,7 +6,10 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
+from pyspark.ml import Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -261,6 +264,25 @@ class ImputeScale:
         )
 
 
+class Preprocess(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """`ImputeScale` as a pipeline stage that can be saved: adds ``features`` and keeps all columns."""
+
+    numbers = Param(Params._dummy(), "numbers", "the learned numbers, as JSON", typeConverter=TypeConverters.toString)
+
+    def __init__(self, fitted: ImputeScale | None = None):
+        super().__init__()
+        if fitted is not None:
+            self._set(numbers=json.dumps(asdict(fitted), sort_keys=True))
+
+    @property
+    def fitted(self) -> ImputeScale:
+        return ImputeScale(**json.loads(self.getOrDefault(self.numbers)))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        kept = [n for n in dataset.columns if n != "features"]
+        return self.fitted.assemble(dataset, kept)
+
+
 RARE = "__infrequent__"
 
 

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions import numbers
-from cohortlens.modeling import bootstrap, explain, importance, metrics, models, preprocess, results, split
+from cohortlens.modeling import bootstrap, explain, importance, metrics, models, preprocess, report, results, split
 from cohortlens.plans import bindings as B
 from cohortlens.plans import sqlstages as X
 from cohortlens.plans.registry import num, register
-from cohortlens.session import stage
+from cohortlens.session import stage, stage_path
 
 c = F.col
 LABEL = "future_any_complaint"
 _DATASETS: dict[tuple[str, str], DataFrame] = {}
 _FORESTS: dict[tuple[str, str], models.Fitted] = {}
+_PERCEPTRONS: dict[tuple[str, str], models.Fitted] = {}
 
 
 def dataset(spark, folder) -> DataFrame:
@@ -472,18 +473,27 @@ def fit_gbt(spark, folder):
     return _fit_table(spark, folder, "gradient_boosting", models.boosting_candidates())
 
 
+def perceptron(spark, folder) -> models.Fitted:
+    """The perceptron of one folder that validation chooses by tolerance, fitted once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _PERCEPTRONS:
+        fits = {
+            f.candidate: f
+            for f in models.evaluate_each(dataset(spark, folder), C.ALL_EVIDENCE_MODEL, models.perceptron_candidates())
+        }
+        chosen = models.select_with_tolerance(
+            [(n, f.metrics["VALIDATION"], models.parameter_count(f.model.getLayers())) for n, f in fits.items()]
+        )
+        _PERCEPTRONS[key] = fits[chosen]
+    return _PERCEPTRONS[key]
+
+
 @register("fit_mlp")
 def fit_mlp(spark, folder):
     """Three perceptrons; the winner by tolerance on validation metrics."""
-    fits = {
-        cand.name: models.evaluate_candidates(dataset(spark, folder), C.ALL_EVIDENCE_MODEL, [cand])
-        for cand in models.perceptron_candidates()
-    }
-    chosen = models.select_with_tolerance(
-        [(n, f.metrics["VALIDATION"], models.parameter_count(f.model.getLayers())) for n, f in fits.items()]
-    )
+    fit = perceptron(spark, folder)
     return models.metrics_frame(
-        spark, [("complaints_communications_recalls", "perceptron", chosen, fits[chosen].metrics)]
+        spark, [("complaints_communications_recalls", "perceptron", fit.candidate, fit.metrics)]
     )
 
 
@@ -495,19 +505,54 @@ def ablation(spark, folder):
 
 @register("seed_robustness")
 def seed_robustness(spark, folder):
+    """The chosen perceptron fitted again with five seeds."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
-    rows, _ = models.prepare_inputs(dataset(spark, folder), C.ALL_EVIDENCE_MODEL, scale=True)
+    fit = perceptron(spark, folder)
+    hidden = [int(n) for n in fit.candidate.split("-")]
     seeds = [C.SEED + i for i in range(5)]
     return models.seed_robustness(
-        rows,
+        fit.prepared,
         lambda n, width, seed: MultilayerPerceptronClassifier(
-            labelCol="target", layers=[width, 64, 32, 2], solver="l-bfgs", seed=seed, maxIter=100
+            labelCol="target", layers=[width, *hidden, 2], solver="l-bfgs", seed=seed, maxIter=100
         ),
         seeds,
     )
 
 
+def _reopened(spark, folder, fit: models.Fitted) -> DataFrame:
+    """Scores of the model as it is after a save and a load, from the unprepared dataset."""
+    path = stage_path(spark, "chosen-model")
+    fit.save(path)
+    return models.score(models.load_chosen(spark, path)[0], dataset(spark, folder))
+
+
+@register(
+    "saved_models",
+    " UNION ALL ".join(f"SELECT '{n}' AS model, split, count(*) AS cohorts, 0::BIGINT AS changed FROM mds GROUP BY split" for n in ("random_forest", "perceptron")),
+)
+def saved_models(spark, folder):
+    """Cohorts by model and split, and those whose score differs after the chosen model is saved and loaded."""
+    parts = []
+    for name, fit in (("random_forest", forest(spark, folder)), ("perceptron", perceptron(spark, folder))):
+        before = models.score(fit.model, fit.prepared).select(C.COHORT_ID, c("probability").alias("before"))
+        after = _reopened(spark, folder, fit).join(before, C.COHORT_ID, "full")
+        parts.append(after.groupBy(F.lit(name).alias("model"), "split").agg(
+            F.count("*").alias("cohorts"), F.count_if(~c("probability").eqNullSafe(c("before"))).alias("changed")
+        ))
+    return parts[0].unionByName(parts[1])
+
+
+@register("evaluation_report")
+def evaluation_report(spark, folder):
+    """Metrics, intervals, calibration, errors, differences and agreement of the saved forest and perceptron on TEST."""
+    sides = [
+        models.prediction_table(_reopened(spark, folder, fit).where("split = 'TEST'"), name, B.CUTOFF)
+        for name, fit in (("random_forest", forest(spark, folder)), ("perceptron", perceptron(spark, folder)))
+    ]
+    return report.evaluation(*sides, ("random_forest", "perceptron"))
+
+
 def _scored(spark, folder) -> DataFrame:
     fit = forest(spark, folder)
     return models.score(fit.model, fit.prepared)
