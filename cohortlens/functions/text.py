@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +32,18 @@ def is_blank(value: Column) -> Column:
     return F.coalesce(strip(value) == "", F.lit(True))
 
 
-@F.pandas_udf(T.StringType())
-def _fold_unicode(values: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _fold_unicode(values: pa.Array) -> pa.Array:
+    """Folded text; a batch without any text, as ASCII labels give, is passed on untouched."""
+    if values.null_count == len(values):
+        return values
+
     def fold(text):
-        return " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
+        return None if text is None else " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
 
-    return values.map(fold, na_action="ignore")
+    # Labels repeat; each distinct one of a batch is folded once.
+    coded = values.dictionary_encode()
+    return pa.array([fold(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
 
 def normalize_ascii(value: Column) -> Column:

@@ -73,10 +73,12 @@ def latest_filings(records: DataFrame) -> DataFrame:
     """One row per configuration: latest period, smallest id among equal periods.
 
     Rows of a latest period that differ beyond their id stop the run; ``period_conflicts`` lists such
-    configurations beforehand. The least and the greatest of them come from the same grouping.
+    configurations beforehand. Hashes of the rows tell, the least and the greatest from the same grouping.
     """
     rest = [n for n in records.columns if n not in CONFIGURATION]
-    payload = F.struct(*[n for n in rest if n != "source_record_id"]).alias("payload")
+    said_by = [F.col(n) for n in rest if n != "source_record_id"]
+    # Hashes skip nulls, so which columns are null is hashed as well.
+    payload = F.xxhash64(*said_by, *[n.isNull() for n in said_by]).alias("payload")
     latest = [F.col(n) for n in ("reporting_year", "reporting_quarter", "report_id")]
     backwards = [(-n).alias(f"p{i}") for i, n in enumerate(latest)]
     best = records.groupBy(*CONFIGURATION).agg(

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.modeling import metrics, models
-from cohortlens.operators import asof, communications, exposure, integration, matching
+from cohortlens.operators import asof, communications, complaints, exposure, integration, matching
 from cohortlens.plans import bindings as B
 from cohortlens.plans import catalogue_model
 from cohortlens.plans import sqltext as S
 from cohortlens.plans.catalogue_model import dataset
 from cohortlens.plans.registry import num, register
+from cohortlens.session import stage, stage_path
+from cohortlens.sources import tables
 
 
 @register(
@@ -188,6 +192,67 @@ def pair_alignment_seeded(spark, folder):
     return metrics.misaligned(metrics.paired(rows.where(last != 3), other)).select("cohort_id", "y_left", "y_right")
 
 
+# --- stages of a run ------------------------------------------------------------------------------------------------
+
+_VERSIONS = {"clean": "clean-1", "events": "events-1", "cohorts": "cohorts-1"}
+_RUN = dt.datetime(2024, 1, 2, tzinfo=dt.UTC)
+
+
+def _run_of_stages(spark, folder) -> str:
+    """Clean complaints, event features and cohorts, each written with its provenance and read by the next."""
+    root = stage_path(spark, "run")
+    known = {"version": _VERSIONS["clean"], "run_ts": _RUN}
+    clean = tables.write_stage(B.clean(spark, folder), root, "clean", **known)
+    events = tables.write_stage(
+        complaints.event_features(clean), root, "events", version=_VERSIONS["events"], run_ts=_RUN, inputs=["clean"]
+    )
+    tables.write_stage(
+        complaints.cohort_features(events), root, "cohorts", version=_VERSIONS["cohorts"], run_ts=_RUN, inputs=["events"],
+        order=[*C.KEY, C.COHORT_ID],
+    )
+    return root
+
+
+@register(
+    "stage_chain",
+    "SELECT 'clean' AS stage, count(*) AS \"rows\", NULL::VARCHAR AS made_from, count(DISTINCT event_id) AS ids FROM clean UNION ALL "
+    "SELECT 'events', count(*), 'clean', count(DISTINCT event_id) FROM ev UNION ALL "
+    "SELECT 'cohorts', count(*), 'events', count(DISTINCT broad_vehicle_id) FROM coh",
+)
+def stage_chain(spark, folder):
+    """Three stages written, then opened through the last one's provenance."""
+    root = _run_of_stages(spark, folder)
+    parts = []
+    for name, source, key in (("clean", None, "event_id"), ("events", "clean", "event_id"), ("cohorts", "events", C.COHORT_ID)):
+        opened = tables.open_stage(spark, root, name, _VERSIONS)
+        parts.append(opened.agg(
+            F.lit(name).alias("stage"), F.count("*").alias("rows"), F.lit(source).cast("string").alias("made_from"), F.countDistinct(key).alias("ids")
+        ))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register(
+    "stage_chain_changed",
+    "SELECT * FROM (VALUES ('clean', false), ('events', true), ('cohorts', true)) v(stage, refused) WHERE EXISTS (SELECT 1 FROM ev)",
+)
+def stage_chain_changed(spark, folder):
+    """One number of one event is changed in place: that stage and what was made from it are refused."""
+    root = _run_of_stages(spark, folder)
+    path = f"{root}/events/table"
+    rows = spark.read.parquet(path)
+    first = rows.agg(F.min("event_id").alias("id")).first()["id"]
+    changed = stage(rows.withColumn("mileage", F.when(F.col("event_id") == first, F.coalesce("mileage", F.lit(0)) + 1).otherwise(F.col("mileage"))), "changed")
+    changed.write.mode("overwrite").parquet(path)
+    found = []
+    for name in _VERSIONS:
+        try:
+            tables.open_stage(spark, root, name, _VERSIONS)
+            found.append((name, False))
+        except tables.SourceError:
+            found.append((name, True))
+    return spark.createDataFrame(found, "stage string, refused boolean")
+
+
 # --- what must hold for fitted models ---------------------------------------------------------------------------
 
 

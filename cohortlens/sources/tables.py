@@ -77,6 +77,54 @@ def validate_input(
     return df
 
 
+def write_stage(
+    df: DataFrame, root: str, name: str, *, version: str, run_ts: dt.datetime, inputs: Sequence[str] = (),
+    order: Sequence[str] = (),
+) -> DataFrame:
+    """Write one stage of a run below ``root``, and beside it what it was made of; the table as written.
+
+    The sidecar holds the stage's fingerprint and the fingerprints of the stages it read, as their own sidecars
+    state them. A stage is written once.
+    """
+    spark = df.sparkSession
+    known = {i: _sidecar(spark, root, i)["checksum"] for i in inputs}
+    write_table(df, f"{root}/{name}/table", order=order)
+    table = spark.read.parquet(f"{root}/{name}/table")
+    write_provenance(provenance(table, version=version, run_ts=run_ts, inputs=known), f"{root}/{name}/provenance")
+    return table
+
+
+def _sidecar(spark: SparkSession, root: str, name: str) -> dict[str, object]:
+    row = spark.read.json(f"{root}/{name}/provenance").first()
+    if row is None:
+        raise SourceError(f"{root}/{name} has no provenance")
+    return row.asDict()
+
+
+def open_stage(spark: SparkSession, root: str, name: str, versions: dict[str, str]) -> DataFrame:
+    """A stage of a run, if it and all stages it was made from are as they were when it was written.
+
+    Each stage's version, columns, row count and content have to agree with its sidecar, and the content of each input
+    with what the reading stage has noted. ``versions`` names the wanted version of every stage.
+    """
+    checked: dict[str, DataFrame] = {}
+
+    def check(stage: str) -> None:
+        if stage in checked:
+            return
+        if stage not in versions:
+            raise SourceError(f"no version is wanted of {stage}, which {name} was made from")
+        said = _sidecar(spark, root, stage)
+        for given, checksum in json.loads(said["inputs"]).items():
+            check(given)
+            if _sidecar(spark, root, given)["checksum"] != checksum:
+                raise SourceError(f"{stage} was made from another {given}")
+        checked[stage] = validate_input(spark, f"{root}/{stage}/table", f"{root}/{stage}/provenance", version=versions[stage])
+
+    check(name)
+    return checked[name]
+
+
 def conservation(mapped: DataFrame) -> DataFrame:
     """Input rows against accepted and rejected rows (one row); the gap must be zero."""
     accepted = F.count_if(F.col("reason").isNull())

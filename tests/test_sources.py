@@ -184,3 +184,26 @@ def test_structured_scan_and_clean_rules(spark, tmp_path):
         with pytest.raises(readers.SourceError):
             readers.checked(bad, readers.clean_rules())
     tables.require_zero(tables.conservation(good.withColumn("reason", F.lit(None).cast("string"))), "unaccounted_rows")
+
+
+def test_stages_of_a_run_are_chained(spark, tmp_path):
+    root, now, versions = str(tmp_path), dt.datetime(2024, 1, 1, tzinfo=dt.UTC), {"a": "1", "b": "2", "c": "3"}
+    df = spark.createDataFrame([(2, "y"), (1, "x")], "k int, v string")
+    a = tables.write_stage(df, root, "a", version="1", run_ts=now)
+    b = tables.write_stage(a.where("k = 1"), root, "b", version="2", run_ts=now, inputs=["a"])
+    tables.write_stage(b.join(a, "k", "left").select("k", a["v"]), root, "c", version="3", run_ts=now, inputs=["a", "b"], order=["k"])
+    assert [tuple(r) for r in tables.open_stage(spark, root, "c", versions).collect()] == [(1, "x")]
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        tables.write_stage(df, root, "a", version="1", run_ts=now)
+    for wrong, said in (({**versions, "a": "9"}, "version differs"), ({"b": "2", "c": "3"}, "no version is wanted of a")):
+        with pytest.raises(tables.SourceError, match=said):
+            tables.open_stage(spark, root, "c", wrong)
+    # Another run of the first stage, whole in itself, is not what the later ones were made from.
+    other = tmp_path / "other"
+    tables.write_stage(df.where("k = 2"), str(other), "a", version="1", run_ts=now)
+    (tmp_path / "a").rename(tmp_path / "old")
+    (other / "a").rename(tmp_path / "a")
+    assert tables.open_stage(spark, root, "a", versions).count() == 1
+    for name in ("b", "c"):
+        with pytest.raises(tables.SourceError, match="made from another a"):
+            tables.open_stage(spark, root, name, versions)
