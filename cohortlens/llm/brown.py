@@ -133,16 +133,20 @@ def _numbers(messages: DataFrame, classes: int) -> DataFrame:
     def number(key, table):
         lists = [zstandard.decompress(w.as_py()).split(b" ") for w in table.column("words")]
         listed = sorted({w for own in lists for w in own})
+        # Numbers rise with the words; which half moves in a round hangs on the word alone, so numbers are left out.
+        half = np.array([zlib.crc32(w) & 1 for w in listed])
+        numbers = np.cumsum(np.concatenate((half[:1], np.where(np.diff(half) == 0, 2, 1))))
         index = {w: i for i, w in enumerate(listed)}
         total, ids = np.zeros(len(listed), np.int64), []
         for own, counts in zip(lists, table.column("counts"), strict=True):
-            ids.append(np.array([index[w] for w in own]))
-            total[ids[-1]] += _unpack(counts.as_py())
+            places = np.array([index[w] for w in own])
+            ids.append(numbers[places])
+            total[places] += _unpack(counts.as_py())
         top = [i for i in np.argsort(-total, kind="stable")[:classes].tolist() if total[i]]
         bucket = key[0].as_py()
         return pa.Table.from_batches([
             rows({"block": table.column("block").to_pylist(), "bucket": [bucket] * len(ids), "ids": [_pack_rising(i) for i in ids]}, len(ids)),
-            rows({"bucket": [bucket] * len(top), "id": top, "word": [listed[i] for i in top], "c": total[top]}, len(top)),
+            rows({"bucket": [bucket] * len(top), "id": numbers[top], "word": [listed[i] for i in top], "c": total[top]}, len(top)),
         ])
 
     return messages.groupBy("bucket").applyInArrow(number, NUMBERS)
@@ -173,10 +177,16 @@ def gains(word: np.ndarray, context: np.ndarray, n: np.ndarray, found: np.ndarra
         return _xlogx(rest + x[:, None]) - _xlogx(rest)
 
     out = np.zeros((len(found), len(profile)))
-    for at in range(0, len(word), AT_ONCE):
-        w, k, x = (v[at : at + AT_ONCE] for v in (word, context, n))
+    # A word's counts are never parted, so its sums don't depend on the words beside it.
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    at = 0
+    while at < len(word):
+        later = starts[np.searchsorted(starts, at + AT_ONCE) :]
+        stop = int(later[0]) if len(later) else len(word)
+        w, k, x = (v[at:stop] for v in (word, context, n))
         first = np.flatnonzero(np.diff(w, prepend=-1))
-        out[w[first]] += np.add.reduceat(added(profile.T[k], x, found[w]), first)
+        out[w[first]] = np.add.reduceat(added(profile.T[k], x, found[w]), first)
+        at = stop
     for at in range(0, len(found), AT_ONCE):
         for side in (0, 1):
             x, mine = own[at : at + AT_ONCE, side], found[at : at + AT_ONCE]
@@ -187,8 +197,8 @@ def gains(word: np.ndarray, context: np.ndarray, n: np.ndarray, found: np.ndarra
 def assign(vectors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     """Classes of words with the context counts ``vectors`` after exchange rounds whose class profiles are ``steps``.
 
-    Step 0 holds the seeds' profiles. Odd rounds move one half of the words and even rounds the
-    other, so that likes don't chase each other.
+    Step 0 holds the seeds' profiles. Odd rounds move words of odd numbers and even rounds the
+    others, so that likes don't chase each other.
     """
     word, context = np.nonzero(vectors)
     found = np.full(len(vectors), -1)

@@ -508,3 +508,15 @@ def test_queries_on_an_empty_table(spark, tmp_path):
     folder = write(empty(spark), tmp_path)
     for name in ("op1_language_id", "op2_bpe", "op3_repeats", "op4_pii", "op5_brown_lm", "op6_simhash", "op7_line_dedup"):
         assert catalogue.QUERIES[name](spark, folder).count() == 0, name
+
+
+def test_class_scores_do_not_depend_on_partitions(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "7", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({r["doc_id"]: (r["score"], r["base_score"]) for r in brown.score(docs, F.col("doc_id") % 7 != 2).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == docs.count()
