@@ -3,7 +3,9 @@
 Only hashes travel: each line becomes (hash, document, position). They are range-partitioned
 by hash and document and sorted by position within, so a line that a third of all documents
 share is spread over many ranges, and one pass over each range yields one row for each
-(line, document). The result is a run-length coded keep bitmap for each document.
+(line, document) with its first place. Lines that enough documents share are written first, so the
+join that finds their places knows their size: it is broadcast while small, and beyond that
+Spark can split a hot line. The result is a run-length coded keep bitmap for each document.
 """
 
 from __future__ import annotations
@@ -57,19 +59,14 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
         .repartitionByRange(*by_document)
         .sortWithinPartitions(*by_document, "pos")
         .groupBy(*by_document)
-        .agg(F.collect_set("pos").alias("places"), F.min("pos").alias("first"))
+        .agg(F.min("pos").alias("first"))
     )
-    frequent = (
-        occurrences.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "mark", "first")).alias("head"))
-        .where(F.col("docs") >= min_docs)
-        .drop("docs")
-    )
-    dropped = occurrences.join(frequent, ["h1", "h2"])
+    head = [F.min(F.struct("doc_id", "mark", "first")).alias("head")] if keep_first else []
+    common = occurrences.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), *head).where(F.col("docs") >= min_docs).drop("docs")
+    dropped = hashes.where("h1 is not null").join(stage(common, "common-lines"), ["h1", "h2"])
     if keep_first:
-        is_head = F.struct("doc_id", "mark", "first").eqNullSafe(F.col("head"))
-        dropped = dropped.withColumn("places", F.when(is_head, F.array_remove("places", F.col("first"))).otherwise(F.col("places")))
-    dropped = dropped.groupBy("doc_id", "mark").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("dropped"))
+        dropped = dropped.where(~F.struct("doc_id", "mark", "pos").eqNullSafe(F.struct("head.doc_id", "head.mark", F.col("head.first").alias("pos"))))
+    dropped = dropped.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     sizes = hashes.groupBy("doc_id", "mark").agg((F.max("pos") + 1).alias("n_lines"))
     d = dropped.withColumnsRenamed({"doc_id": "d_id", "mark": "d_mark"})
     joined = sizes.join(d, sizes["doc_id"].eqNullSafe(d["d_id"]) & (sizes["mark"] == d["d_mark"]), "left")
