@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,23 @@ def normalize_ascii(value: Column) -> Column:
     return F.lower(squeeze(value))
 
 
+def normalize_jvm(value: Column) -> Column:
+    """`normalize_identity` of labels that a `normalizer` has found to be ASCII."""
+    return F.nullif(normalize_ascii(value), F.lit(""))
+
+
+def normalizer(labels: DataFrame) -> Callable[[Column], Column]:
+    """The rule to use for labels that are made of the columns of ``labels`` and ASCII text.
+
+    One aggregate looks at every label. If none has a character beyond ASCII the rule stays in the JVM, where it gives
+    the same, and no task starts Python; otherwise it is `normalize_identity`.
+    """
+    odd = F.lit(False)
+    for name in labels.columns:
+        odd = odd | ~F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).rlike("\\A[\\x00-\\x7f]*\\z")
+    return normalize_identity if labels.agg(F.bool_or(odd).alias("odd")).first()["odd"] else normalize_jvm
+
+
 def normalize_identity(value: Column) -> Column:
     """NFKC, collapsed white space, case folding; blank text becomes null.
 

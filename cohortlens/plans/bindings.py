@@ -7,6 +7,7 @@ derived from the rows by fixed arithmetic, so the SQL checks can state the same
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,6 @@ HORIZON = 12
 CORPUS_END = dt.date(2001, 11, 4)
 REVIEW_CUTOFFS = (dt.date(1998, 12, 31), dt.date(1999, 12, 31), dt.date(2000, 12, 31))
 ROW = "l_orderkey * 8 + l_linenumber"
-NORMALIZE = text.normalize_identity
 
 # Component labels by row number; position 18 of 19 is null.
 COMPONENT_LABELS = (
@@ -43,6 +43,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def normalizer(spark: SparkSession, folder: str) -> Callable[[Column], Column]:
+    """The normalization of this folder's labels, which are columns of ``part`` among ASCII text."""
+    return text.normalizer(table(spark, folder, "part").select("p_brand", "p_type"))
+
+
 def pick(index: str, labels: tuple[str, ...]) -> str:
     """SQL (valid in both engines) for the label at a zero-based index, else null."""
     branches = " ".join(
@@ -107,11 +112,11 @@ def raw_complaints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mapped(spark: SparkSession, folder: str) -> DataFrame:
-    return complaints.map_complaints(raw_complaints(spark, folder), NORMALIZE)
+    return complaints.map_complaints(raw_complaints(spark, folder), normalizer(spark, folder))
 
 
 def clean(spark: SparkSession, folder: str) -> DataFrame:
-    return complaints.clean_from_raw(raw_complaints(spark, folder), NORMALIZE)
+    return complaints.clean_from_raw(raw_complaints(spark, folder), normalizer(spark, folder))
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,7 +168,7 @@ def filings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def production(spark: SparkSession, folder: str) -> DataFrame:
-    return exposure.aggregate_production(exposure.canonical_filings(filings(spark, folder), NORMALIZE))
+    return exposure.aggregate_production(exposure.canonical_filings(filings(spark, folder), normalizer(spark, folder)))
 
 
 def production_aliases(spark: SparkSession, folder: str) -> DataFrame:
@@ -309,7 +314,7 @@ class Evidence:
     def communication_applications(self) -> DataFrame:
         return self._once(
             "communication-applications",
-            lambda: communications.applications(communication_rows(self.spark, self.folder), NORMALIZE),
+            lambda: communications.applications(communication_rows(self.spark, self.folder), normalizer(self.spark, self.folder)),
         )
 
     @property
@@ -338,7 +343,7 @@ class Evidence:
     def recall_applications(self) -> DataFrame:
         return self._once(
             "recall-applications",
-            lambda: recalls.applications(recall_rows(self.spark, self.folder), NORMALIZE),
+            lambda: recalls.applications(recall_rows(self.spark, self.folder), normalizer(self.spark, self.folder)),
         )
 
     @property

@@ -371,7 +371,7 @@ def year_list_explode(spark, folder):
     "normalized_model, model_year, platform, type_code AS vehicle_type_code, fuel_propulsion_system, production_count FROM canon",
 )
 def canonical_filings(spark, folder):
-    return exposure.canonical_filings(B.filings(spark, folder), B.NORMALIZE).drop(
+    return exposure.canonical_filings(B.filings(spark, folder), B.normalizer(spark, folder)).drop(
         "reporting_entity", "original_make", "original_model"
     )
 
@@ -393,7 +393,7 @@ def latest_filing_sum(spark, folder):
     f"GROUP BY {S._CONF} HAVING count(*) > 1",
 )
 def filing_conflicts(spark, folder):
-    return exposure.period_conflicts(exposure.canonical_filings(B.filings(spark, folder), B.NORMALIZE))
+    return exposure.period_conflicts(exposure.canonical_filings(B.filings(spark, folder), B.normalizer(spark, folder)))
 
 
 @register("production_match", f"SELECT {pretty(C.PRODUCTION_MATCH_COLUMNS)} FROM pmatch")
@@ -475,7 +475,7 @@ def document_rollup(spark, folder):
 
 @register("application_dedupe", "SELECT * FROM capps")
 def application_dedupe(spark, folder):
-    return communications.applications(B.communication_rows(spark, folder), B.NORMALIZE)
+    return communications.applications(B.communication_rows(spark, folder), B.normalizer(spark, folder))
 
 
 @register(
@@ -1006,7 +1006,7 @@ def table_fingerprint(spark, folder):
 )
 def orphan_check(spark, folder):
     rows = B.communication_rows(spark, folder)
-    apps = communications.applications(rows, B.NORMALIZE).select("applicability_id", "communication_id")
+    apps = communications.applications(rows, B.normalizer(spark, folder)).select("applicability_id", "communication_id")
     return matching.orphans(apps, communications.documents(rows), "communication_id").select(
         "applicability_id", "communication_id"
     )

@@ -108,7 +108,7 @@ def metadata_conflicts_seeded(spark, folder):
 def orphans_seeded(spark, folder):
     """Documents whose id ends in a character of code 7 modulo 10 are taken away."""
     rows = B.communication_rows(spark, folder)
-    apps = communications.applications(rows, B.NORMALIZE).select("applicability_id", "communication_id")
+    apps = communications.applications(rows, B.normalizer(spark, folder)).select("applicability_id", "communication_id")
     docs = communications.documents(rows).where(F.ascii(F.substring("communication_id", -1, 1)) % 10 != 7)
     return matching.orphans(apps, docs, "communication_id").select("applicability_id", "communication_id")
 
@@ -140,7 +140,7 @@ def identity_mismatches_seeded(spark, folder):
 )
 def filing_conflicts_seeded(spark, folder):
     """Every filing of one manufacturer is filed once more with other units."""
-    rows = exposure.canonical_filings(B.filings(spark, folder), B.NORMALIZE)
+    rows = exposure.canonical_filings(B.filings(spark, folder), B.normalizer(spark, folder))
     faulty = rows.where("manufacturer_id = 3").withColumn("production_count", F.lit(-1).cast("long"))
     return exposure.period_conflicts(rows.unionByName(faulty))
 
