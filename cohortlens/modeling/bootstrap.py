@@ -52,6 +52,11 @@ def draws(df: DataFrame, rows: int, samples: int, seed: int) -> DataFrame:
     return every.select("sample", (number.cast("long") % rows).alias("index"))
 
 
+def draw_counts(df: DataFrame, rows: int, samples: int, seed: int) -> DataFrame:
+    """How often each row index is drawn in each resample, one row for each that is; combined before the shuffle."""
+    return draws(df, rows, samples, seed).groupBy("sample", "index").agg(F.count("*").alias("times"))
+
+
 _MESSAGES = pa.schema([("block", pa.int64()), ("sample", pa.int64()), ("places", pa.binary())])
 
 
