@@ -30,6 +30,8 @@ CLASSES = 32
 #: Contexts of a word on each side: the neighbour's class, no class, or the start of the text.
 CONTEXTS = CLASSES + 2
 ROUNDS = 4
+#: The bit of a word's crc32 that says in which rounds it moves.
+HALF_BIT = 11
 #: Weight of the class frequencies in the transition probabilities.
 TRANSITION_PRIOR = 50.0
 #: The end of a text as a word; no word holds white space.
@@ -134,7 +136,7 @@ def _numbers(messages: DataFrame, classes: int) -> DataFrame:
         lists = [zstandard.decompress(w.as_py()).split(b" ") for w in table.column("words")]
         listed = sorted({w for own in lists for w in own})
         # Numbers rise with the words; which half moves in a round hangs on the word alone, so numbers are left out.
-        half = np.array([zlib.crc32(w) & 1 for w in listed])
+        half = np.array([zlib.crc32(w) >> HALF_BIT & 1 for w in listed])
         numbers = np.cumsum(np.concatenate((half[:1], np.where(np.diff(half) == 0, 2, 1))))
         index = {w: i for i, w in enumerate(listed)}
         total, ids = np.zeros(len(listed), np.int64), []
