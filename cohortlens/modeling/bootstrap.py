@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
@@ -87,14 +87,18 @@ def _packing(size: int, most: int):
     return pack
 
 
-def _percentiles(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """2.5 and 97.5 percentiles of ``value`` per key over the resamples."""
-    q = ordered.quantiles(long, keys, {"v": F.col("value")}, [0.025, 0.975])
-    return q.select(
-        *keys,
+def _percentiles(long: DataFrame | None, names: Sequence[str], spark: SparkSession) -> DataFrame:
+    """2.5 and 97.5 percentiles of ``value`` per metric over the resamples; one without a value has null bounds."""
+    every = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("metric"))
+    if long is None:
+        none = F.lit(None).cast("double")
+        return every.select("metric", none.alias("lower_95"), none.alias("upper_95"), F.lit(0).cast("long").alias("valid_samples"))
+    q = ordered.quantiles(long, ["metric"], {"v": F.col("value")}, [0.025, 0.975])
+    return every.join(q, "metric", "left").select(
+        "metric",
         F.col("q")[0].alias("lower_95"),
         F.col("q")[1].alias("upper_95"),
-        F.col("n").alias("valid_samples"),
+        F.coalesce("n", F.lit(0)).alias("valid_samples"),
     )
 
 
@@ -235,11 +239,11 @@ def _slices(table: DataFrame, scores: Sequence[str], rows: int) -> dict[str, lis
     return cuts
 
 
-def _resampled(df: DataFrame, scores: Sequence[str], samples: int, seed: int, threshold: float = C.THRESHOLD) -> DataFrame:
-    """Metrics of every resample and score column: ``sample``, ``model`` and the metric contract."""
+def _resampled(df: DataFrame, scores: Sequence[str], samples: int, seed: int, threshold: float = C.THRESHOLD) -> DataFrame | None:
+    """Metrics of every resample and score column: ``sample``, ``model`` and the metric contract; None without rows."""
     rows = df.count()
     if rows == 0:
-        raise ValueError("a bootstrap needs rows")
+        return None
     spark = df.sparkSession
     table = stage(
         numbered(df).select("index", F.col(M.LABEL).cast("int").alias("y"), *[F.col(s).cast("double").alias(s) for s in scores])
@@ -284,11 +288,19 @@ def _long(table: DataFrame, keys: list[Column], names: Sequence[str]) -> DataFra
 
 def bootstrap_intervals(
     df: DataFrame, *, samples: int = C.BOOTSTRAP_SAMPLES, seed: int = C.SEED,
-    names: Sequence[str] = M.METRICS,
+    names: Sequence[str] = M.METRICS, whole: bool = False,
 ) -> DataFrame:
-    """95 percent interval of each metric; resamples without a value are left out."""
+    """95 percent interval of each metric; resamples without a value are left out.
+
+    A metric that no resample has is left out as well, and a table without rows stops the run. ``whole`` gives every
+    metric its row instead: in both cases its bounds are null and ``valid_samples`` is zero.
+    """
     table = _resampled(df, [M.SCORE], samples, seed)
-    return _percentiles(_long(table, ["sample", "model"], names), ["metric"])
+    if table is None and not whole:
+        raise ValueError("a bootstrap needs rows")
+    long = None if table is None else _long(table, ["sample", "model"], names)
+    found = _percentiles(long, names, df.sparkSession)
+    return found if whole else found.where("valid_samples > 0")
 
 
 def paired_bootstrap(
@@ -308,19 +320,20 @@ def paired_bootstrap(
         )
         return long.groupBy(*keys, "metric").agg(value.alias("value"))
 
-    resampled = differences(_resampled(rows, sides, samples, seed), ["sample"])
+    table = _resampled(rows, sides, samples, seed)
+    resampled = None if table is None else differences(table, ["sample"])
     both = rows.select(
         M.LABEL,
         F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).alias("p")) for s in sides])).alias("m"),
     ).select(M.LABEL, "m.model", F.col("m.p").alias(M.SCORE))
     observed = differences(M.binary_metrics(both, ["model"]), [])
-    return observed.withColumnRenamed("value", "observed_difference").join(
-        _percentiles(resampled, ["metric"]), "metric"
-    )
+    return _percentiles(resampled, PAIRED, rows.sparkSession).join(
+        observed.withColumnRenamed("value", "observed_difference"), "metric", "left"
+    ).select("metric", "observed_difference", "lower_95", "upper_95", "valid_samples")
 
 
 def critical_intervals(df: DataFrame, *, samples: int = C.BOOTSTRAP_SAMPLES, seed: int = C.SEED) -> DataFrame:
-    """Intervals for the two weak subgroups, each with its own seed."""
+    """Intervals for the two weak subgroups, each with its own seed; an empty one has null bounds."""
     groups = {
         "support_1": F.col("historical_complaint_count") == 1,
         "age_21_plus": F.col("cohort_age_at_cutoff") >= 21,
@@ -328,7 +341,7 @@ def critical_intervals(df: DataFrame, *, samples: int = C.BOOTSTRAP_SAMPLES, see
     out = None
     for offset, (name, rule) in enumerate(groups.items()):
         part = bootstrap_intervals(
-            df.where(rule), samples=samples, seed=seed + offset, names=("recall", "f1", "roc_auc")
+            df.where(rule), samples=samples, seed=seed + offset, names=("recall", "f1", "roc_auc"), whole=True
         ).select(F.lit(name).alias("subgroup"), "*")
         out = part if out is None else out.unionByName(part)
     return out

@@ -70,3 +70,24 @@ def test_one_class_and_no_rows(spark):
         bootstrap.bootstrap_intervals(df.where("false"))
     constant = df.withColumn("probability", F.lit(0.25)).withColumn("target", F.when(F.col("cohort_id") == "c1", 1).otherwise(0))
     assert {r["lower_95"] for r in bootstrap.bootstrap_intervals(constant, samples=5, names=("roc_auc",)).collect()} <= {0.5}
+
+
+def one_class(spark, n=30):
+    return spark.createDataFrame(
+        [(f"c{i}", 1, 0.6 + i / 100, 0.55 + i / 90, 5, 12) for i in range(n)],
+        "cohort_id string, target int, probability double, other double, cohort_age_at_cutoff int, historical_complaint_count long",
+    )
+
+
+def test_every_metric_has_its_row(spark):
+    df = one_class(spark)
+    found = {r["metric"]: tuple(r)[1:] for r in bootstrap.bootstrap_intervals(df, samples=20, whole=True).collect()}
+    assert set(found) == set(metrics.METRICS) and found["roc_auc"] == (None, None, 0) and found["pr_auc"] == (1.0, 1.0, 20)
+    pairs = metrics.paired(df.drop("other"), df.drop("probability").withColumnRenamed("other", "probability"))
+    both = {r["metric"]: tuple(r)[1:] for r in bootstrap.paired_bootstrap(pairs, samples=20).collect()}
+    assert set(both) == set(bootstrap.PAIRED) and both["roc_auc"] == (None, None, None, 0) and both["f1"][3] == 20
+
+
+def test_empty_subgroups_have_null_bounds(spark):
+    found = {tuple(r) for r in bootstrap.critical_intervals(one_class(spark), samples=20).collect()}
+    assert found == {(g, m, None, None, 0) for g in ("support_1", "age_21_plus") for m in ("recall", "f1", "roc_auc")}
