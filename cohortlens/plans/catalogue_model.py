@@ -390,7 +390,7 @@ def _interval(names, source):
 )
 def bootstrap_intervals(spark, folder):
     """1,000 resamples of all cohorts, seven metrics, one plan."""
-    return bootstrap.bootstrap_intervals(predictions(spark, folder))
+    return bootstrap.bootstrap_intervals(predictions(spark, folder), whole=True)
 
 
 @register(
