@@ -96,7 +96,7 @@ def evaluation(left: DataFrame, right: DataFrame, names: tuple[str, str], *, sam
 
     for name in names:
         own = scores.where(c("model") == name)
-        parts.append(_long("interval", bootstrap.bootstrap_intervals(own, samples=samples, seed=seed), F.lit(name), c("metric"), ["lower_95", "upper_95", "valid_samples"]))
+        parts.append(_long("interval", bootstrap.bootstrap_intervals(own, samples=samples, seed=seed, whole=True), F.lit(name), c("metric"), ["lower_95", "upper_95", "valid_samples"]))
         weak = bootstrap.critical_intervals(own, samples=samples, seed=seed)
         parts.append(_long("interval", weak, F.lit(name), F.concat_ws(":", "subgroup", "metric"), ["lower_95", "upper_95", "valid_samples"]))
         parts.append(_long("errors", M.error_analysis(own), F.lit(name), F.concat_ws(":", "category", "dimension", "value"), ["rows"]))
