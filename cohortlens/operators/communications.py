@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortlens import constants as C
 from cohortlens.functions import identity, numbers, ordered, text
 from cohortlens.operators import guards
+from cohortlens.session import stage
 
 METADATA = ("replacement", "added", "document", "communicated", "campaign", "type", "summary")
 PRODUCT = ("source_id", "make", "model", "year")
@@ -31,12 +32,13 @@ def documents(rows: DataFrame, source_file: str | None = None) -> DataFrame:
     c = F.col
     # Only the distinct combinations of the set-valued columns go through the arrays.
     filled = rows.withColumns({n: F.coalesce(n, F.lit("")) for n in METADATA})
-    fields = F.struct(*METADATA)
+    # Hashes tell whether the rows agree, so the fields themselves are moved once, not as least and greatest.
+    fields, digest = F.struct(*METADATA), F.xxhash64(*METADATA)
     narrow = filled.groupBy("source_id", "component", "system", "subsystem").agg(
-        F.count("*").alias("_rows"), F.min(fields).alias("_least"), F.max(fields).alias("_most")
+        F.count("*").alias("_rows"), F.min(fields).alias("_fields"), F.min(digest).alias("_least"), F.max(digest).alias("_most")
     )
     grouped = narrow.groupBy("source_id").agg(
-        F.min("_least").alias("_least"), F.max("_most").alias("_most"),
+        F.min("_fields").alias("_fields"), F.min("_least").alias("_least"), F.max("_most").alias("_most"),
         F.array_sort(F.collect_set("component")).alias("source_components"),
         F.array_sort(F.collect_set(F.nullif("system", F.lit("")))).alias("component_systems"),
         F.array_sort(F.collect_set(F.nullif("subsystem", F.lit("")))).alias("component_subsystems"),
@@ -44,7 +46,7 @@ def documents(rows: DataFrame, source_file: str | None = None) -> DataFrame:
     )
     said = F.concat(F.lit("document-level fields differ within document "), F.coalesce("source_id", F.lit("null")))
     agreed = guards.hold(grouped, c("_least") == c("_most"), said)
-    grouped = agreed.select("_least.*", *[n for n in grouped.columns if n[0] != "_"])
+    grouped = agreed.select("_fields.*", *[n for n in grouped.columns if n[0] != "_"])
     added, added_flag = text.flagged_date(c("added"), "date_added")
     sent, sent_flag = text.flagged_date(c("communicated"), "communication_date")
     return grouped.select(
@@ -142,7 +144,8 @@ def cohort_evidence(cohorts: DataFrame, matched: DataFrame, docs: DataFrame) ->
             "_systems"
         ),
     )
-    known = pairs.join(facts, "communication_id")
+    # Read twice below, and small beside what it is made of.
+    known = stage(pairs.join(facts, "communication_id").drop("communication_id"), "communication-pairs")
     per_cohort = known.groupBy(C.COHORT_ID).agg(
         F.count("*").alias("unique_communication_count"),
         F.sum("_apps").alias("communication_applicability_row_count"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.operators import asof, communications, exposure, integration, matching, recalls, targets
+from cohortlens.plans import bindings
 from tests.helpers import rows
 from tests.test_sources import recall
 
@@ -318,3 +319,15 @@ def test_later_events_do_not_change_asof_features(spark, folder):
     cut = asof.complaint_features(history, e.targets, B.CUTOFF)
     assert whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty()
     assert asof.history_mismatches(whole, e.targets).isEmpty()
+
+
+def test_feeds_share_lines_joined_once(spark, folder):
+    evidence = bindings.Evidence(spark, folder)
+    for rows, own in (
+        (bindings.communication_rows(spark, folder, evidence.ordered_lines), bindings.communication_rows(spark, folder)),
+        (bindings.recall_rows(spark, folder, evidence.lines), bindings.recall_rows(spark, folder)),
+        (bindings.filings(spark, folder, evidence.lines), bindings.filings(spark, folder)),
+    ):
+        assert rows.count() > 0 and rows.exceptAll(own).isEmpty() and own.exceptAll(rows).isEmpty()
+    for rows in (evidence.communication_documents, evidence.communication_applications, evidence.campaigns):
+        assert rows.inputFiles() and not [f for f in rows.inputFiles() if f.endswith(("lineitem.parquet", "orders.parquet"))]
