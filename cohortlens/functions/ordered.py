@@ -42,6 +42,18 @@ def hash_bucket(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 4), 16, 10).cast("long")
 
 
+#: Tasks that share the rows of one key after ``spread``.
+PARTS = 8
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a key together, but in up to ``PARTS`` tasks where many tasks have read them: ``_part`` tells which.
+
+    What is grouped by the key and ``_part`` next needs no shuffle, and meets under the key in a second, smaller one.
+    """
+    return df.withColumn("_part", F.spark_partition_id() % PARTS).repartition(key, "_part")
+
+
 def totals_before(
     df: DataFrame,
     groups: Sequence[str],

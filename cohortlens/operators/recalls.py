@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,12 @@ from cohortlens import constants as C
 from cohortlens.functions import identity, numbers, ordered, text
 from cohortlens.operators.communications import fill_evidence
 
+#: Campaign columns that the profile reads.
+PROFILED = (
+    "source_row_count", "potential_units_affected", "quality_flags", "original_components", "defect_descriptions",
+    "report_received_dates", "corrective_actions", "recall_types", "manufacturer_campaign_numbers",
+)
+
 # Campaign column -> source column whose distinct non-null values it holds, sorted.
 VALUE_SETS = {
     "manufacturer_campaign_numbers": "MFGCAMPNO",
@@ -35,20 +41,52 @@ DATE_SETS = {
 }
 
 
-def campaigns(rows: DataFrame, file_column: str = "source_file") -> DataFrame:
-    """One row per campaign number, with the sorted distinct values of every field.
+def _field_sets(file_column: str) -> tuple[tuple[str, ...], ...]:
+    """Fields that tend to change together: a row gives one value of each set, not one of each field."""
+    return (
+        (
+            "MFGCAMPNO", "MFGNAME", "MFGTXT", "INFLUENCED_BY", "RPNO", "FMVSS", "POTAFF", "ODATE", "DESC_DEFECT",
+            "CONEQUENCE_DEFECT", "CORRECTIVE_ACTION", "NOTES", "DO_NOT_DRIVE", "PARK_OUTSIDE",
+        ),
+        ("RCLTYPECD", "COMPNAME"),
+        ("RCDATE", "DATEA", file_column),
+    )
+
 
-    Each field's values are made distinct per campaign before any array is built: the
-    long table (campaign, field, value) combines on the map side and spreads a campaign
-    with very many rows over its values.
+def _value_lists(rows: DataFrame, fields: list[str], file_column: str) -> DataFrame:
+    """One row per campaign number: the sorted distinct values of each field as ``_<field>``, and the row count.
+
+    Rows move once, as they are, so what is shuffled is bounded by the input whatever its order. A campaign with very
+    many rows goes to several tasks; each makes its values distinct before they meet.
     """
     c = F.col
-    fields = [*VALUE_SETS.values(), *DATE_SETS.values(), "POTAFF", file_column]
-    long = rows.select(
-        "CAMPNO",
-        F.explode(F.array(*[F.struct(F.lit(n).alias("f"), c(n).alias("v")) for n in fields])).alias("p"),
-    ).select("CAMPNO", "p.f", "p.v")
-    values = long.where(c("v").isNotNull()).groupBy("CAMPNO", "f", "v").agg(F.count("*").alias("n"))
+    every = [*VALUE_SETS.values(), *DATE_SETS.values(), "POTAFF", file_column]
+    # A campaign is one with any value, whichever fields are asked for.
+    rows = rows.select("CAMPNO", *fields, F.when(F.coalesce(*every).isNotNull(), "").alias("_present"))
+    sets = [[n for n in names if n in fields] for names in _field_sets(file_column)]
+    sets = [names for names in sets if names]
+    sets[0].append("_present")
+    width = max(len(names) for names in sets)
+    dealt = ordered.spread(rows, "CAMPNO")
+
+    def packed(index: int, names) -> Column:
+        padded = [c(n) for n in names] + [F.lit(None).cast("string")] * (width - len(names))
+        return F.struct(F.lit(index).alias("s"), *[v.alias(f"v{i}") for i, v in enumerate(padded)])
+
+    slots = [f"v{i}" for i in range(width)]
+    tuples = (
+        dealt.select("CAMPNO", "_part", F.explode(F.array(*[packed(i, names) for i, names in enumerate(sets)])).alias("t"))
+        .select("CAMPNO", "_part", "t.*")
+        .groupBy("CAMPNO", "_part", "s", *slots)
+        .agg(F.count("*").alias("n"))
+    )
+    named = F.lit(None).cast("array<struct<f:string,v:string>>")
+    for i, names in enumerate(sets):
+        pairs = F.array(*[F.struct(F.lit(n).alias("f"), c(f"v{j}").alias("v")) for j, n in enumerate(names)])
+        named = F.when(c("s") == i, pairs).otherwise(named)
+    long = tuples.select("CAMPNO", "_part", "n", F.explode(named).alias("p")).select("CAMPNO", "_part", "n", "p.f", "p.v")
+    local = long.where(c("v").isNotNull()).groupBy("CAMPNO", "_part", "f", "v").agg(F.sum("n").alias("n"))
+    values = local.select("CAMPNO", "f", "v", "n").repartition("CAMPNO").groupBy("CAMPNO", "f", "v").agg(F.sum("n").alias("n"))
     per_field = values.groupBy("CAMPNO", "f").agg(
         F.array_sort(F.collect_list("v")).alias("values"), F.sum("n").alias("n")
     )
@@ -57,11 +95,17 @@ def campaigns(rows: DataFrame, file_column: str = "source_file") -> DataFrame:
         F.sum(F.when(c("f") == file_column, c("n"))).alias("source_row_count"),
     )
     none = F.array().cast("array<string>")
-    lists = maps.select(
-        "CAMPNO",
-        "source_row_count",
-        *[F.coalesce(F.try_element_at("_m", F.lit(n)), none).alias(f"_{n}") for n in fields],
+    return maps.select(
+        "CAMPNO", "source_row_count", *[F.coalesce(F.try_element_at("_m", F.lit(n)), none).alias(f"_{n}") for n in fields]
     )
+
+
+def campaigns(rows: DataFrame, file_column: str = "source_file", columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per campaign number, with the sorted distinct values of every field.
+
+    ``columns`` names what is wanted beside the campaign's id and number; only the fields behind it are moved.
+    """
+    c = F.col
     population = F.array_sort(
         F.transform(
             F.filter(c("_POTAFF"), lambda v: text.matches(v, "[0-9]+")),
@@ -72,28 +116,42 @@ def campaigns(rows: DataFrame, file_column: str = "source_file") -> DataFrame:
     bad_date = F.lit(False)
     for parsed in dates.values():
         bad_date = bad_date | F.exists(parsed, lambda d: d.isNull())
-    built = lists.withColumn("potential_units_affected_values", population)
     many = F.size("potential_units_affected_values") > 1
-    return built.select(
+    # Output column -> its expression and the source fields behind it.
+    built = {
+        **{n: (c(f"_{s}"), [s]) for n, s in VALUE_SETS.items()},
+        "recall_types": (F.array_sort(F.array_distinct(F.transform("_RCLTYPECD", text.recall_type))), ["RCLTYPECD"]),
+        **{n: (F.array_sort(F.array_compact(d)), [DATE_SETS[n]]) for n, d in dates.items()},
+        "potential_units_affected": (
+            F.when(
+                F.size("potential_units_affected_values") == 1,
+                F.try_element_at("potential_units_affected_values", F.lit(1)),
+            ),
+            ["POTAFF"],
+        ),
+        "potential_units_affected_values": (c("potential_units_affected_values"), ["POTAFF"]),
+        "canonical_components": (text.component_of_roots(c("_COMPNAME")), ["COMPNAME"]),
+        "quality_flags": (
+            F.array_compact(
+                F.array(
+                    F.when(many, "multiple_potential_units_affected_values"),
+                    F.when(bad_date, "unparseable_date_value"),
+                )
+            ),
+            ["POTAFF", *DATE_SETS.values()],
+        ),
+        "source_artifact_filenames": (c(f"_{file_column}"), [file_column]),
+        "source_row_count": (c("source_row_count"), [file_column]),
+    }
+    wanted = list(built) if columns is None else list(columns)
+    fields = list(dict.fromkeys(s for n in wanted for s in built[n][1]))
+    lists = _value_lists(rows, fields, file_column)
+    if "POTAFF" in fields:
+        lists = lists.withColumn("potential_units_affected_values", population)
+    return lists.select(
         F.concat(F.lit(f"{C.RECALL_PREFIX}_"), c("CAMPNO")).alias("campaign_id"),
         c("CAMPNO").alias("campaign_number"),
-        *[c(f"_{s}").alias(n) for n, s in VALUE_SETS.items()],
-        F.array_sort(F.array_distinct(F.transform("_RCLTYPECD", text.recall_type))).alias("recall_types"),
-        *[F.array_sort(F.array_compact(d)).alias(n) for n, d in dates.items()],
-        F.when(
-            F.size("potential_units_affected_values") == 1,
-            F.try_element_at("potential_units_affected_values", F.lit(1)),
-        ).alias("potential_units_affected"),
-        "potential_units_affected_values",
-        text.component_of_roots(c("_COMPNAME")).alias("canonical_components"),
-        F.array_compact(
-            F.array(
-                F.when(many, "multiple_potential_units_affected_values"),
-                F.when(bad_date, "unparseable_date_value"),
-            )
-        ).alias("quality_flags"),
-        c(f"_{file_column}").alias("source_artifact_filenames"),
-        "source_row_count",
+        *[built[n][0].alias(n) for n in wanted],
     )
 
 
@@ -185,7 +243,7 @@ def cohort_evidence(cohorts: DataFrame, matched: DataFrame, campaign_table: Data
 
 
 def campaign_profile(table: DataFrame) -> DataFrame:
-    """Ingestion profile of the campaign table: one row of counts and ranges."""
+    """Ingestion profile of the campaign table: one row of counts and ranges. The table is read twice."""
     c = F.col
 
     def several(name: str) -> Column:

@@ -13,6 +13,7 @@ from cohortlens.plans import bindings as B
 from cohortlens.plans import sqlstages as _sqlstages  # noqa: F401 - adds its stages
 from cohortlens.plans import sqltext as S
 from cohortlens.plans.registry import arr, day, num, pretty, register
+from cohortlens.session import stage
 from cohortlens.sources import readers, tables
 
 c = F.col
@@ -602,7 +603,8 @@ def campaign_rollup(spark, folder):
     "FROM camps",
 )
 def campaign_profile(spark, folder):
-    return recalls.campaign_profile(recalls.campaigns(B.recall_rows(spark, folder)))
+    table = recalls.campaigns(B.recall_rows(spark, folder), columns=recalls.PROFILED)
+    return recalls.campaign_profile(stage(table, "profiled-campaigns"))
 
 
 @register(

@@ -199,6 +199,20 @@ def test_population_conflict_and_bad_dates(spark):
     assert row["quality_flags"] == ["multiple_potential_units_affected_values", "unparseable_date_value"]
 
 
+def test_campaigns_of_some_columns(spark):
+    raw = recall_rows(spark, [(*recall(RECORD_ID="9", CAMPNO="23V000001"), "post.txt")] * 40).repartition(5)
+    whole = recalls.campaigns(raw)
+    for names in (["report_received_dates"], ["notes"], ["potential_units_affected", "source_row_count"], [*recalls.PROFILED]):
+        part = recalls.campaigns(raw, columns=names)
+        assert part.columns == ["campaign_id", "campaign_number", *names]
+        assert sorted(map(tuple, part.collect())) == sorted(rows(whole, *part.columns))
+    assert recalls.campaigns(raw, columns=["notes"]).count() == 4
+    # Rows move once as they are, and again as distinct values: no row becomes one for each field before it is moved.
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.rindex("Generate") < plan.rindex("Exchange hashpartitioning")
+
+
 # --- integration, targets, as-of ------------------------------------------------------------------
 
 EVENT = "broad_vehicle_id string, report_date date, severity string, component string"
