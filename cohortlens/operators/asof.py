@@ -75,7 +75,8 @@ def _document_features(
     """Distinct documents of each target cohort dated by the cutoff, and a status.
 
     ``facts`` has one row per document with its date in ``_day``. Pairs are made
-    distinct before the join, so a document with very many applications is spread.
+    distinct before the join, so a document with very many applications is spread. Where
+    ``matched`` and ``facts`` both lie by ``document``, neither moves again.
     """
     c = F.col
     pairs = (
@@ -108,13 +109,21 @@ def _document_features(
     ).drop("_any")
 
 
+#: Document and campaign columns that the features read.
+COMMUNICATION_FACTS = ("date_added", "communication_type", "canonical_components")
+RECALL_FACTS = (
+    "report_received_dates", "canonical_components", "fmvss_numbers", "regulation_part_numbers", "do_not_drive_values",
+    "park_outside_values",
+)
+
+
 def communication_features(
-    matched: DataFrame, documents: DataFrame, targets: DataFrame, cutoff: dt.date
+    matched: DataFrame, documents: DataFrame, targets: DataFrame, cutoff: dt.date, document: str = "communication_id"
 ) -> DataFrame:
     """Communications added to the file by the cutoff."""
     c = F.col
     facts = documents.select(
-        "communication_id", c("date_added").alias("_day"), "communication_type", "canonical_components"
+        document, c("date_added").alias("_day"), "communication_type", "canonical_components"
     )
     extra = [
         F.count_if(c("_known") & (c("communication_type") == n)).alias(
@@ -128,14 +137,14 @@ def communication_features(
         for n in C.COMPONENTS
     ]
     rows = _document_features(
-        matched, targets, facts, cutoff, document="communication_id", stem="communication",
+        matched, targets, facts, cutoff, document=document, stem="communication",
         counter="historical_unique_communication_count", extra=extra,
     )
     return rows.select(C.COHORT_ID, *C.COMMUNICATION_FEATURES)
 
 
 def recall_features(
-    matched: DataFrame, campaigns: DataFrame, targets: DataFrame, cutoff: dt.date
+    matched: DataFrame, campaigns: DataFrame, targets: DataFrame, cutoff: dt.date, campaign: str = "campaign_id"
 ) -> DataFrame:
     """Campaigns whose earliest report date lies by the cutoff.
 
@@ -144,7 +153,7 @@ def recall_features(
     """
     c = F.col
     facts = campaigns.select(
-        "campaign_id",
+        campaign,
         F.array_min("report_received_dates").alias("_day"),
         "canonical_components",
         (numbers.has_any(c("fmvss_numbers")) | numbers.has_any(c("regulation_part_numbers"))).alias(
@@ -164,7 +173,7 @@ def recall_features(
         for n in C.COMPONENTS
     ]
     rows = _document_features(
-        matched, targets, facts, cutoff, document="campaign_id", stem="recall",
+        matched, targets, facts, cutoff, document=campaign, stem="recall",
         counter="historical_unique_recall_campaign_count", extra=extra,
     )
     return rows.select(C.COHORT_ID, *C.RECALL_FEATURES)

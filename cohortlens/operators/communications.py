@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,52 +23,72 @@ def metadata_conflicts(rows: DataFrame) -> DataFrame:
     return distinct.groupBy("source_id").agg(F.count("*").alias("variants")).where("variants > 1")
 
 
-def documents(rows: DataFrame, source_file: str | None = None) -> DataFrame:
+#: Document columns that need no field of the rows but the document's own, by the fields behind them.
+_FIELDS = {
+    "manufacturer_document_id": ("document",), "replacement_document_id": ("replacement",),
+    "manufacturer_campaign_or_software_id": ("campaign",), "original_communication_type": ("type",),
+    "communication_type": ("type",), "original_date_added": ("added",), "date_added": ("added",),
+    "original_communication_date": ("communicated",), "communication_date": ("communicated",),
+    "date_quality_flags": ("added", "communicated"), "summary": ("summary",), "source_components": ("component",),
+    "canonical_components": ("component",), "component_systems": ("system",), "component_subsystems": ("subsystem",),
+    "source_artifact_filename": (), "source_row_count": (),
+}
+
+
+def documents(rows: DataFrame, source_file: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per document. Rows repeat per product and component; values are sets.
 
-    Rows of a document that disagree on document-level fields stop the run, whichever columns are read;
-    ``metadata_conflicts`` lists such documents beforehand.
+    ``columns`` names what is wanted beside the document's ids; only the fields behind it are moved. Rows of a document
+    that disagree on document-level fields stop the run, whichever columns are read; ``metadata_conflicts`` lists such
+    documents beforehand. The result lies by ``source_id``, so a join on it moves the other side only.
     """
     c = F.col
-    # Only the distinct combinations of the set-valued columns go through the arrays.
+    wanted = list(_FIELDS) if columns is None else list(columns)
+    behind = {n for name in wanted for n in _FIELDS[name]}
+    once, many = [n for n in METADATA if n in behind], [n for n in ("component", "system", "subsystem") if n in behind]
+    # A hash tells whether the rows agree on all fields, those that are not moved included.
     filled = rows.withColumns({n: F.coalesce(n, F.lit("")) for n in METADATA})
-    # Hashes tell whether the rows agree, so the fields themselves are moved once, not as least and greatest.
-    fields, digest = F.struct(*METADATA), F.xxhash64(*METADATA)
-    narrow = filled.groupBy("source_id", "component", "system", "subsystem").agg(
-        F.count("*").alias("_rows"), F.min(fields).alias("_fields"), F.min(digest).alias("_least"), F.max(digest).alias("_most")
+    narrow = filled.select(
+        "source_id", F.xxhash64(*METADATA).alias("_digest"), *once, *[F.nullif(n, F.lit("")).alias(n) if n != "component" else c(n) for n in many]
     )
-    grouped = narrow.groupBy("source_id").agg(
-        F.min("_fields").alias("_fields"), F.min("_least").alias("_least"), F.max("_most").alias("_most"),
-        F.array_sort(F.collect_set("component")).alias("source_components"),
-        F.array_sort(F.collect_set(F.nullif("system", F.lit("")))).alias("component_systems"),
-        F.array_sort(F.collect_set(F.nullif("subsystem", F.lit("")))).alias("component_subsystems"),
-        F.sum("_rows").alias("source_row_count"),
+    # Rows move once as they are; equal ones are counted before any set is built.
+    dealt = ordered.spread(narrow, "source_id")
+    counted = dealt.groupBy(*dealt.columns).agg(F.count("*").alias("_rows"))
+    sets = [F.collect_set(n).alias(n) for n in many]
+    local = counted.groupBy("source_id", "_digest", "_part", *once).agg(F.sum("_rows").alias("_rows"), *sets)
+    fields = F.min(F.struct("_digest", *once)).alias("_fields")
+    joined = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(n)))).alias(n) for n in many]
+    grouped = local.repartition("source_id").groupBy("source_id").agg(
+        fields, F.max("_digest").alias("_most"), F.sum("_rows").alias("source_row_count"), *joined
     )
     said = F.concat(F.lit("document-level fields differ within document "), F.coalesce("source_id", F.lit("null")))
-    agreed = guards.hold(grouped, c("_least") == c("_most"), said)
-    grouped = agreed.select("_fields.*", *[n for n in grouped.columns if n[0] != "_"])
-    added, added_flag = text.flagged_date(c("added"), "date_added")
-    sent, sent_flag = text.flagged_date(c("communicated"), "communication_date")
+    agreed = guards.hold(grouped, c("_fields._digest") == c("_most"), said)
+    grouped = agreed.select("source_id", *[c("_fields")[n].alias(n) for n in once], "source_row_count", *many)
+    made = {
+        "manufacturer_document_id": lambda: c("document"),
+        "replacement_document_id": lambda: F.nullif("replacement", F.lit("")),
+        "manufacturer_campaign_or_software_id": lambda: F.nullif("campaign", F.lit("")),
+        "original_communication_type": lambda: c("type"),
+        "communication_type": lambda: text.communication_type(c("type")),
+        "original_date_added": lambda: c("added"),
+        "date_added": lambda: text.flagged_date(c("added"), "date_added")[0],
+        "original_communication_date": lambda: c("communicated"),
+        "communication_date": lambda: text.flagged_date(c("communicated"), "communication_date")[0],
+        "date_quality_flags": lambda: F.array_sort(F.array_compact(F.array(
+            text.flagged_date(c("added"), "date_added")[1], text.flagged_date(c("communicated"), "communication_date")[1]
+        ))),
+        "summary": lambda: c("summary"),
+        "source_components": lambda: c("component"),
+        "canonical_components": lambda: text.component_of_roots(c("component")),
+        "component_systems": lambda: c("system"),
+        "component_subsystems": lambda: c("subsystem"),
+        "source_artifact_filename": lambda: F.lit(source_file).cast("string"),
+        "source_row_count": lambda: c("source_row_count"),
+    }
     return grouped.select(
         F.concat(F.lit(f"{C.COMMUNICATION_PREFIX}_"), c("source_id")).alias("communication_id"),
-        c("source_id"),
-        c("document").alias("manufacturer_document_id"),
-        F.nullif("replacement", F.lit("")).alias("replacement_document_id"),
-        F.nullif("campaign", F.lit("")).alias("manufacturer_campaign_or_software_id"),
-        c("type").alias("original_communication_type"),
-        text.communication_type(c("type")).alias("communication_type"),
-        c("added").alias("original_date_added"),
-        added.alias("date_added"),
-        c("communicated").alias("original_communication_date"),
-        sent.alias("communication_date"),
-        F.array_sort(F.array_compact(F.array(added_flag, sent_flag))).alias("date_quality_flags"),
-        "summary",
-        "source_components",
-        text.component_of_roots(c("source_components")).alias("canonical_components"),
-        "component_systems",
-        "component_subsystems",
-        F.lit(source_file).cast("string").alias("source_artifact_filename"),
-        "source_row_count",
+        "source_id",
+        *[made[n]().alias(n) for n in wanted],
     )
 
 
@@ -121,20 +141,30 @@ def audit_views(first: DataFrame, second: DataFrame) -> DataFrame:
     return sides(["source_id"], "identifier").unionByName(sides(list(PRODUCT), "product"))
 
 
-def cohort_evidence(cohorts: DataFrame, matched: DataFrame, docs: DataFrame) -> DataFrame:
+#: Document columns that cohort evidence reads.
+EVIDENCE_FACTS = (
+    "manufacturer_document_id", "communication_type", "canonical_components", "communication_date", "summary",
+    "component_systems", "component_subsystems",
+)
+
+
+def cohort_evidence(
+    cohorts: DataFrame, matched: DataFrame, docs: DataFrame, document: str = "communication_id"
+) -> DataFrame:
     """Whole-history evidence per cohort; an unmatched cohort has zeros and null dates.
 
     ``matched`` is the output of ``matching.match_applications``. Applications collapse
     to (cohort, document) first, so each later count is a plain conditional count and
-    a document with very many applications is spread over its cohorts.
+    a document with very many applications is spread over its cohorts. Where ``matched`` and ``docs`` both lie by
+    ``document``, neither moves again.
     """
     c = F.col
     hits = matched.where(c("matched_broad_vehicle_id").isNotNull())
     pairs = hits.groupBy(
-        c("matched_broad_vehicle_id").alias(C.COHORT_ID), "communication_id"
+        c("matched_broad_vehicle_id").alias(C.COHORT_ID), document
     ).agg(F.count("*").alias("_apps"), F.sum("source_expanded_row_count").alias("_rows"))
     facts = docs.select(
-        "communication_id",
+        document,
         "manufacturer_document_id",
         "communication_type",
         "canonical_components",
@@ -145,7 +175,7 @@ def cohort_evidence(cohorts: DataFrame, matched: DataFrame, docs: DataFrame) ->
         ),
     )
     # Read twice below, and small beside what it is made of.
-    known = stage(pairs.join(facts, "communication_id").drop("communication_id"), "communication-pairs")
+    known = stage(pairs.join(facts, document).drop(document), "communication-pairs")
     per_cohort = known.groupBy(C.COHORT_ID).agg(
         F.count("*").alias("unique_communication_count"),
         F.sum("_apps").alias("communication_applicability_row_count"),

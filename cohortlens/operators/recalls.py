@@ -192,7 +192,16 @@ def applications(
     )
 
 
-def cohort_evidence(cohorts: DataFrame, matched: DataFrame, campaign_table: DataFrame) -> DataFrame:
+#: Campaign columns that cohort evidence reads.
+EVIDENCE_FACTS = (
+    "report_received_dates", "recall_types", "canonical_components", "fmvss_numbers", "potential_units_affected",
+    "corrective_actions",
+)
+
+
+def cohort_evidence(
+    cohorts: DataFrame, matched: DataFrame, campaign_table: DataFrame, campaign: str = "campaign_id"
+) -> DataFrame:
     """Whole-history recall evidence per cohort; unmatched cohorts have zeros.
 
     Noncompliance here means a safety-standard number only. The first and last dates
@@ -202,11 +211,11 @@ def cohort_evidence(cohorts: DataFrame, matched: DataFrame, campaign_table: Data
     hits = matched.where(c("matched_broad_vehicle_id").isNotNull())
     # Repeated rows give one application id, and an application is counted once.
     unique = hits.groupBy(
-        c("matched_broad_vehicle_id").alias(C.COHORT_ID), "campaign_id", "applicability_id"
+        c("matched_broad_vehicle_id").alias(C.COHORT_ID), campaign, "applicability_id"
     ).agg(F.count("*").alias("_rows"))
-    pairs = unique.groupBy(C.COHORT_ID, "campaign_id").agg(F.count("*").alias("_apps"))
+    pairs = unique.groupBy(C.COHORT_ID, campaign).agg(F.count("*").alias("_apps"))
     facts = campaign_table.select(
-        "campaign_id",
+        campaign,
         F.array_min("report_received_dates").alias("_first"),
         F.array_max("report_received_dates").alias("_last"),
         "recall_types",
@@ -215,7 +224,7 @@ def cohort_evidence(cohorts: DataFrame, matched: DataFrame, campaign_table: Data
         c("potential_units_affected").isNotNull().alias("_population"),
         numbers.has_any(c("corrective_actions")).alias("_remedy"),
     )
-    per_cohort = pairs.join(facts, "campaign_id").groupBy(C.COHORT_ID).agg(
+    per_cohort = pairs.join(facts, campaign).groupBy(C.COHORT_ID).agg(
         F.count("*").alias("unique_recall_campaign_count"),
         F.sum("_apps").alias("recall_applicability_row_count"),
         F.min("_first").alias("first_recall_date"),

@@ -780,10 +780,10 @@ def temporal_feasibility(spark, folder):
         F.when(c("production_count").isNotNull(), c("production_reporting_periods")).alias("production_reporting_periods"),
     )
     sent = integration.earliest_dates(
-        e.communication_matches, e.communication_documents, "communication_id", c("date_added")
+        e.communication_links, e.document_facts("date_added"), "source_id", c("date_added")
     )
     called = integration.earliest_dates(
-        e.recall_matches, e.campaigns, "campaign_id", F.array_min("report_received_dates")
+        e.recall_links, e.campaign_facts("report_received_dates"), "campaign_number", F.array_min("report_received_dates")
     )
     return integration.temporal_feasibility(e.events, gated, sent, called, cutoffs=B.REVIEW_CUTOFFS)
 
@@ -952,9 +952,7 @@ def asof_event_features(spark, folder):
 )
 def asof_document_features(spark, folder):
     e = B.Evidence(spark, folder)
-    sent = asof.communication_features(e.communication_matches, e.communication_documents, e.targets, B.CUTOFF)
-    called = asof.recall_features(e.recall_matches, e.campaigns, e.targets, B.CUTOFF)
-    return sent.join(called, C.COHORT_ID)
+    return e.communication_features().join(e.recall_features(), C.COHORT_ID)
 
 
 @register(

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,31 @@ def test_communication_rollup_and_audit(spark):
     assert profile["repeated_manufacturer_document_id_count"] == 1
 
 
+def test_documents_of_some_columns(spark):
+    raw = communication(spark)
+    raw = raw.unionByName(raw).repartition(5)
+    whole = communications.documents(raw)
+    for names in (asof.COMMUNICATION_FACTS, communications.EVIDENCE_FACTS, ["source_row_count"], ["component_systems", "date_quality_flags"]):
+        part = communications.documents(raw, columns=names)
+        assert part.columns == ["communication_id", "source_id", *names]
+        assert sorted(map(str, part.collect())) == sorted(map(str, whole.select(*part.columns).collect()))
+    clash = raw.unionByName(raw.limit(1).withColumn("summary", F.lit("Else")))
+    with pytest.raises(Exception, match="differ within document"):
+        communications.documents(clash, columns=["date_added"]).collect()
+
+
+def test_links_and_facts_meet_without_moving_again(spark, folder):
+    e = bindings.Evidence(spark, folder)
+    for links, facts, key in (
+        (e.communication_links, e.document_facts("date_added"), "source_id"),
+        (e.recall_links, e.campaign_facts("report_received_dates"), "campaign_number"),
+    ):
+        pairs = links.select("matched_broad_vehicle_id", key).distinct()
+        plan = pairs.join(facts.hint("shuffle_hash"), key)._jdf.queryExecution().executedPlan().toString()
+        assert not re.findall(rf"hashpartitioning\({key}#\d+, \d+\), ENSURE_REQUIREMENTS", plan)
+        assert "hashpartitioning(matched_broad_vehicle_id" not in plan
+
+
 def test_communication_matching(spark):
     raw = communication(spark)
     docs, apps = communications.documents(raw), communications.applications(raw)
