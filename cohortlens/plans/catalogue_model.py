@@ -16,6 +16,7 @@ from cohortlens.session import stage, stage_path
 c = F.col
 LABEL = "future_any_complaint"
 _DATASETS: dict[tuple[str, str], DataFrame] = {}
+_TARGETS: dict[tuple[str, str], DataFrame] = {}
 _FORESTS: dict[tuple[str, str], models.Fitted] = {}
 _PERCEPTRONS: dict[tuple[str, str], models.Fitted] = {}
 
@@ -28,6 +29,7 @@ def dataset(spark, folder) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _DATASETS:
         evidence = B.Evidence(spark, folder)
+        _TARGETS[key] = evidence.targets
         parts = split.stratified_split(evidence.targets, label=LABEL)
         _DATASETS[key] = stage(
             models.model_dataset(evidence.features(), evidence.targets, parts), "model-dataset"
@@ -35,6 +37,12 @@ def dataset(spark, folder) -> DataFrame:
     return _DATASETS[key]
 
 
+def dataset_targets(spark, folder) -> DataFrame:
+    """The staged targets that the folder's dataset was built from."""
+    dataset(spark, folder)
+    return _TARGETS[(spark.sparkContext.applicationId, folder)]
+
+
 def predictions(spark, folder) -> DataFrame:
     """Two fixed scores per cohort, in the columns of a prediction table."""
     h, r = c("historical_complaint_count"), c("complaints_last_12m")
@@ -76,7 +84,7 @@ def split_summary(spark, folder):
 def alignment_check(spark, folder):
     rows = dataset(spark, folder)
     return models.alignment_mismatches(
-        rows, B.Evidence(spark, folder).targets, rows.select(C.COHORT_ID, "split")
+        rows, dataset_targets(spark, folder), rows.select(C.COHORT_ID, "split")
     ).select(C.COHORT_ID)
 
 

@@ -157,7 +157,7 @@ def _last(modulus: int) -> Column:
 def alignment_check_seeded(spark, folder):
     """Some cohorts have another year in the targets, no target, or no split."""
     rows = catalogue_model.dataset(spark, folder)
-    tgt = B.Evidence(spark, folder).targets.where(_last(7) != 2)
+    tgt = catalogue_model.dataset_targets(spark, folder).where(_last(7) != 2)
     moved = tgt.withColumn("model_year", F.when(_last(7) == 1, F.col("model_year") + 1).otherwise(F.col("model_year")))
     return models.alignment_mismatches(rows, moved, rows.select(C.COHORT_ID, "split").where(_last(7) != 3)).select(C.COHORT_ID)
 
