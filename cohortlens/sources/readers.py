@@ -139,7 +139,8 @@ def quoted_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     Lines are read in splits. Whether a line begins inside quotes follows from the number of quotes before it: the
     parity within its split, and that of the splits before, which are summed by split. A line that begins outside
     begins a record; lines that begin inside belong to the last one that did. Only records of several lines are
-    gathered. A carriage return at the end of a record is dropped, and empty records are no records.
+    gathered. A split in which each line has an even number of quotes keeps the state it begins with, so its lines
+    are neither ordered nor moved; the tables of splits are small, one row for each. A carriage return at the end of a record is dropped, and empty records are no records.
     """
     lines = (
         spark.read.option("lineSep", "\n").text(path if isinstance(path, str) else list(path))
@@ -149,30 +150,41 @@ def quoted_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
             (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"),
         )
     )
+    per_split = lines.groupBy("file", "split").agg(F.max(F.col("quotes") % 2).alias("turns"), F.max("at").alias("last"))
+    turning = per_split.where("turns = 1").select(F.col("file").alias("t_file"), F.col("split").alias("t_split"))
+    same = (F.col("file") == F.col("t_file")) & (F.col("split") == F.col("t_split"))
     inside = Window.partitionBy("file", "split").orderBy("at")
     before = F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
-    local = lines.withColumn("odd", before)
+    local = lines.join(F.broadcast(turning), same, "left_semi").withColumn("odd", before)
     # Of each split: its quotes, and the last line that begins a record if the split begins outside or inside quotes.
-    splits = local.groupBy("file", "split").agg(
+    turned = local.groupBy("file", "split").agg(
         (F.sum("quotes") % 2).alias("odd"),
         *[F.max(F.when(F.col("odd") == n, F.col("at"))).alias(f"last_{n}") for n in (0, 1)],
     )
+    even = per_split.where("turns = 0").select(
+        "file", "split", F.lit(0).cast("bigint").alias("odd"), F.col("last").alias("last_0"), F.lit(None).cast("bigint").alias("last_1")
+    )
+    splits = turned.withColumn("even", F.lit(False)).unionByName(even.withColumn("even", F.lit(True)))
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     opened = splits.withColumn("within", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
     last = F.when(F.col("within") == 0, F.col("last_0")).otherwise(F.col("last_1"))
     known = opened.select(
-        F.col("file").alias("s_file"), F.col("split").alias("s_split"), "within",
+        F.col("file").alias("s_file"), F.col("split").alias("s_split"), "even", "within",
         F.last(last, ignorenulls=True).over(earlier).alias("carried"),
     )
-    joined = local.join(known, (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split")))
-    placed = joined.withColumn("starts", (F.col("odd") + F.col("within")) % 2 == 0)
+    there = (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split"))
+    calm = lines.join(F.broadcast(known.where("even")), there)
+    placed = local.join(F.broadcast(known.where("NOT even")), there).withColumn("starts", (F.col("odd") + F.col("within")) % 2 == 0)
     alone = F.col("starts") & (F.col("quotes") % 2 == 0)
     here = F.last(F.when(F.col("starts"), F.col("at")), ignorenulls=True).over(inside)
-    several = placed.withColumn("first", F.coalesce(here, F.col("carried"))).where(~alone)
+    several = placed.withColumn("first", F.coalesce(here, F.col("carried"))).where(~alone).select("file", "first", "at", "line").unionByName(
+        calm.where("within = 1").select("file", F.col("carried").alias("first"), "at", "line")
+    )
     gathered = several.groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("parts")).select(
         F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("record")
     )
-    records = placed.where(alone).select(F.col("line").alias("record")).unionByName(gathered)
+    single = calm.where("within = 0").select("line").unionByName(placed.where(alone).select("line"))
+    records = single.select(F.col("line").alias("record")).unionByName(gathered)
     return records.select(F.regexp_replace("record", "\r$", "").alias("record")).where("record != ''")
 
 

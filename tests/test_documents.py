@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from bench import shuffled
 from cohortlens import constants as C
 from cohortlens.sources import readers
 from tests.test_sources import production_entry
@@ -96,6 +97,21 @@ def test_quoted_text_in_splits_equals_a_plain_reader(spark, tmp_path, small_spli
     assert got == sorted(map(tuple, expected))
 
 
+def test_even_splits_inside_and_outside_a_long_record(spark, tmp_path, small_splits):
+    inner = "\n".join(f"line {i}" for i in range(120))
+    (tmp_path / "a.csv").write_text("".join(f"{i},a,b,2020,s\n" for i in range(60)) + f'60,a,b,2020,"{inner}"\n' + "61,a,b,2020,t\n" * 60)
+    got = sorted(tuple(r)[::4] for r in readers.read_compact(spark, str(tmp_path)).select("source_id", "make", "model", "years", "summary").collect())
+    assert got == sorted([*[(str(i), "s") for i in range(60)], ("60", inner), *[("61", "t")] * 60])
+
+
+def test_lines_of_even_splits_are_not_shuffled(spark, tmp_path):
+    body = "".join(f"{i},{hashlib.sha256(str(i).encode()).hexdigest()},b,2020,s\n" for i in range(20000))
+    (tmp_path / "a.csv").write_text(body)
+    before = shuffled(spark)
+    readers.read_compact(spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < 0.1
+
+
 def test_short_and_blank_records(spark, tmp_path):
     (tmp_path / "x.csv").write_text('1,a,b,2020,"x"\n\n2,a,b\n')
     found = readers.read_compact(spark, str(tmp_path))
