@@ -145,6 +145,24 @@ def component_of_roots(roots: Column) -> Column:
     return F.array_sort(F.array_distinct(families(roots)))
 
 
+def component_bits(df: DataFrame, label: str, name: str) -> DataFrame:
+    """Add ``name``: the bit of the label's component family, zero where the label is null.
+
+    Families are told from distinct labels, which are staged, so Catalyst sees their true size and picks the join from
+    that. ``bit_or`` of the column is the set of families of a group in one number.
+    """
+    families_ = {family: 1 << i for i, family in enumerate(C.COMPONENTS)}
+    labels = df.select(F.col(label).alias("_label")).where(F.col("_label").isNotNull()).distinct()
+    bits = labels.select("_label", lookup(component(F.col("_label")), families_).cast("bigint").alias(name))
+    joined = df.join(stage(bits, "component-bits"), F.col(label) == F.col("_label"), "left").drop("_label")
+    return joined.withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+
+
+def has_component(bits: Column, family: str) -> Column:
+    """Whether a number made of ``component_bits`` holds a family."""
+    return bits.bitwiseAND(F.lit(1 << C.COMPONENTS.index(family)).cast("bigint")) != 0
+
+
 def recall_type(code: Column) -> Column:
     return F.coalesce(lookup(code, C.RECALL_TYPE_CODES), F.lit("OTHER"))
 

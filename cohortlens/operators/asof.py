@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
-from cohortlens.functions import numbers, ordered
+from cohortlens.functions import numbers, ordered, text
 
 
 def complaint_features(events: DataFrame, targets: DataFrame, cutoff: dt.date) -> DataFrame:
@@ -110,28 +110,37 @@ def _document_features(
 
 
 #: Document and campaign columns that the features read.
-COMMUNICATION_FACTS = ("date_added", "communication_type", "canonical_components")
-RECALL_FACTS = (
-    "report_received_dates", "canonical_components", "fmvss_numbers", "regulation_part_numbers", "do_not_drive_values",
-    "park_outside_values",
+COMMUNICATION_FACTS = ("date_added", "communication_type", "component_bits")
+RECALL_FACTS = ("first_report_date", "component_bits", "has_rule", "has_stop", "has_park")
+#: Event columns that targets and features read.
+EVENT_COLUMNS = (
+    C.COHORT_ID, *C.KEY, "report_date", "component", "severity", "mileage", "source_reference_id",
+    *[f"{e}_positive" for e in C.EVIDENCE],
 )
 
 
+def _component_hit(facts: DataFrame, family: str) -> Column:
+    """Facts hold families as an array, or as the bits that the ``signals`` of documents and campaigns have."""
+    if "component_bits" in facts.columns:
+        return text.has_component(F.col("component_bits"), family)
+    return F.array_contains("canonical_components", family)
+
+
 def communication_features(
     matched: DataFrame, documents: DataFrame, targets: DataFrame, cutoff: dt.date, document: str = "communication_id"
 ) -> DataFrame:
-    """Communications added to the file by the cutoff."""
+    """Communications added to the file by the cutoff. ``documents`` are documents or their ``signals``."""
     c = F.col
-    facts = documents.select(
-        document, c("date_added").alias("_day"), "communication_type", "canonical_components"
-    )
+    coded = "component_bits" in documents.columns
+    components = "component_bits" if coded else "canonical_components"
+    facts = documents.select(document, c("date_added").alias("_day"), "communication_type", components)
     extra = [
-        F.count_if(c("_known") & (c("communication_type") == n)).alias(
+        F.count_if(c("_known") & (c("communication_type") == (i if coded else n))).alias(
             f"historical_communication_type_{n.lower()}_count"
         )
-        for n in C.COMMUNICATION_TYPES
+        for i, n in enumerate(C.COMMUNICATION_TYPES)
     ] + [
-        F.count_if(c("_known") & F.array_contains("canonical_components", n)).alias(
+        F.count_if(c("_known") & _component_hit(facts, n)).alias(
             f"historical_communication_component_{n}_count"
         )
         for n in C.COMPONENTS
@@ -146,28 +155,34 @@ def communication_features(
 def recall_features(
     matched: DataFrame, campaigns: DataFrame, targets: DataFrame, cutoff: dt.date, campaign: str = "campaign_id"
 ) -> DataFrame:
-    """Campaigns whose earliest report date lies by the cutoff.
+    """Campaigns whose earliest report date lies by the cutoff. ``campaigns`` are campaigns or their ``signals``.
 
     Noncompliance here means a safety-standard number or a regulation part. The last
     date is the latest of the campaigns' earliest dates.
     """
     c = F.col
-    facts = campaigns.select(
-        campaign,
-        F.array_min("report_received_dates").alias("_day"),
-        "canonical_components",
-        (numbers.has_any(c("fmvss_numbers")) | numbers.has_any(c("regulation_part_numbers"))).alias(
-            "_rule"
-        ),
-        F.array_contains("do_not_drive_values", "Yes").alias("_stop"),
-        F.array_contains("park_outside_values", "Yes").alias("_park"),
-    )
+    if "component_bits" in campaigns.columns:
+        facts = campaigns.select(
+            campaign, c("first_report_date").alias("_day"), "component_bits", c("has_rule").alias("_rule"),
+            c("has_stop").alias("_stop"), c("has_park").alias("_park"),
+        )
+    else:
+        facts = campaigns.select(
+            campaign,
+            F.array_min("report_received_dates").alias("_day"),
+            "canonical_components",
+            (numbers.has_any(c("fmvss_numbers")) | numbers.has_any(c("regulation_part_numbers"))).alias(
+                "_rule"
+            ),
+            F.array_contains("do_not_drive_values", "Yes").alias("_stop"),
+            F.array_contains("park_outside_values", "Yes").alias("_park"),
+        )
     extra = [
         F.count_if(c("_known") & c("_rule")).alias("historical_recall_noncompliance_count"),
         F.count_if(c("_known") & c("_stop")).alias("historical_recall_do_not_drive_count"),
         F.count_if(c("_known") & c("_park")).alias("historical_recall_park_outside_count"),
     ] + [
-        F.count_if(c("_known") & F.array_contains("canonical_components", n)).alias(
+        F.count_if(c("_known") & _component_hit(facts, n)).alias(
             f"historical_recall_component_{n}_count"
         )
         for n in C.COMPONENTS

@@ -92,6 +92,41 @@ def documents(rows: DataFrame, source_file: str | None = None, columns: Sequence
     )
 
 
+def signals(rows: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """One row per document with numbers only, for readers that count documents and do not show them.
+
+    ``columns`` names what is wanted beside ``source_id``: ``date_added``, ``communication_date``, ``communication_type`` (its
+    place in ``COMMUNICATION_TYPES``) and ``component_bits``. Every field is a number before rows move, so rows of a document
+    are combined where they are read, without sets; a document with very many rows sends one row a task. The guard is that
+    of ``documents``. The result lies by ``source_id``.
+    """
+    c = F.col
+    places = {n: i for i, n in enumerate(C.COMMUNICATION_TYPES)}
+    # Rows of a document agree on these fields, or the guard stops the run.
+    days = {"date_added": "added", "communication_date": "communicated"}
+    once = {
+        **{n: lambda n=n: F.when(F.year(c(f"_{n}")).between(1900, 2100), c(f"_{n}")) for n in days},
+        "communication_type": lambda: F.coalesce(
+            text.lookup(c("type"), {k: places[v] for k, v in C.COMMUNICATION_TYPE_NAMES.items()}), F.lit(places["UNKNOWN"])
+        ),
+    }
+    filled = rows.withColumns({n: F.coalesce(n, F.lit("")) for n in METADATA})
+    if "component_bits" in columns:
+        filled = text.component_bits(filled, "component", "component_bits")
+    # Days are read in a step of their own, once a row, before their range is checked; the rule is that of ``documents``.
+    filled = filled.withColumns({f"_{n}": text.compact_date(c(days[n])) for n in columns if n in days})
+    narrow = filled.select(
+        "source_id", F.xxhash64(*METADATA).alias("_digest"),
+        *[once[n]().alias(n) if n in once else c(n) for n in columns],
+    )
+    grouped = narrow.groupBy("source_id").agg(
+        F.min("_digest").alias("_least"), F.max("_digest").alias("_most"),
+        *[F.bit_or(n).alias(n) if n == "component_bits" else F.min(n).alias(n) for n in columns],
+    )
+    said = F.concat(F.lit("document-level fields differ within document "), F.coalesce("source_id", F.lit("null")))
+    return guards.hold(grouped, c("_least") == c("_most"), said).select("source_id", *columns)
+
+
 def applications(
     rows: DataFrame, normalize: Callable[[Column], Column] = text.normalize_identity
 ) -> DataFrame:

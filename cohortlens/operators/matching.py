@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
+from cohortlens.functions import text
+from cohortlens.session import stage
 
 
 def cohort_index(cohorts: DataFrame) -> DataFrame:
@@ -63,6 +67,37 @@ def match_applications(
     )
 
 
+def document_links(
+    rows: DataFrame, document: str, product: Sequence[str], cohorts: DataFrame, normalize: Callable[[Column], Column],
+) -> DataFrame:
+    """Each document with each cohort that one of its products names, once: ``document`` and ``matched_broad_vehicle_id``.
+
+    ``product`` names the source columns of make, model and year. Labels are normalized and matched once for each distinct
+    product, not for each row: products are staged before, as a filter on normalized labels would else be pushed down to
+    the rows, and after, so Catalyst sees the true size of what it joins. The result lies by ``document``.
+    """
+    c = F.col
+    make, model, year = product
+    products = stage(rows.select(*product).distinct(), "products").select(
+        *product, normalize(c(make)).alias("normalized_make"), normalize(c(model)).alias("normalized_model"),
+        text.model_year(c(year)).alias("model_year"),
+    )
+    known = match_applications(products, cohorts).where(c("matched_broad_vehicle_id").isNotNull())
+    matched = stage(known.select(*product, "matched_broad_vehicle_id"), "product-matches")
+    found = rows.select(document, *product).join(matched, list(product)).select(document, "matched_broad_vehicle_id")
+    return found.repartition(document).distinct()
+
+
+def document_counts(cohorts: DataFrame, links: DataFrame, document: str, name: str, facts: DataFrame | None = None) -> DataFrame:
+    """Number of linked documents of every cohort as ``name``, zero without any. ``facts``, if given, are one row a document."""
+    known = links.where(F.col(document).isNotNull())
+    if facts is not None:
+        known = known.join(facts.select(document), document)
+    counts = known.groupBy(F.col("matched_broad_vehicle_id").alias(C.COHORT_ID)).agg(F.count("*").alias(name))
+    rows = cohorts.join(counts, C.COHORT_ID, "left")
+    return rows.withColumn(name, F.coalesce(name, F.lit(0)))
+
+
 def orphans(rows: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows whose parent does not exist; must be empty."""
     return rows.join(parent.select(key).distinct(), key, "left_anti")

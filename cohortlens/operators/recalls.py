@@ -155,6 +155,33 @@ def campaigns(rows: DataFrame, file_column: str = "source_file", columns: Sequen
     )
 
 
+#: Source fields whose values make a row one of a campaign, beside the file's name.
+_FIELDS = (*VALUE_SETS.values(), *DATE_SETS.values(), "POTAFF")
+SIGNAL_FIELDS = ("CAMPNO", *_FIELDS, "source_file")
+
+
+def signals(rows: DataFrame, columns: Sequence[str], file_column: str = "source_file") -> DataFrame:
+    """One row per campaign number with numbers only, for readers that count campaigns and do not show them.
+
+    ``columns`` is a choice of ``first_report_date``, ``component_bits``, ``has_rule``, ``has_stop`` and ``has_park``. Rows of a
+    campaign are combined where they are read, without sets. The result lies by ``campaign_number``.
+    """
+    c = F.col
+    built = {
+        "first_report_date": lambda: F.min("_day"),
+        "component_bits": lambda: F.bit_or("component_bits"),
+        "has_rule": lambda: F.coalesce(F.bool_or(c("FMVSS").isNotNull() | c("RPNO").isNotNull()), F.lit(False)),
+        "has_stop": lambda: F.coalesce(F.bool_or(c("DO_NOT_DRIVE") == "Yes"), F.lit(False)),
+        "has_park": lambda: F.coalesce(F.bool_or(c("PARK_OUTSIDE") == "Yes"), F.lit(False)),
+    }
+    kept = rows.where(F.coalesce(*_FIELDS, file_column).isNotNull())
+    if "component_bits" in columns:
+        kept = text.component_bits(kept, "COMPNAME", "component_bits")
+    if "first_report_date" in columns:
+        kept = kept.withColumn("_day", text.compact_date(c("RCDATE")))
+    return kept.groupBy(c("CAMPNO").alias("campaign_number")).agg(*[built[n]().alias(n) for n in columns])
+
+
 def applications(
     rows: DataFrame,
     normalize: Callable[[Column], Column] = text.normalize_identity,

@@ -951,7 +951,7 @@ def asof_event_features(spark, folder):
     "FROM acomm JOIN arec USING (broad_vehicle_id)",
 )
 def asof_document_features(spark, folder):
-    e = B.Evidence(spark, folder)
+    e = B.Evidence(spark, folder, event_columns=asof.EVENT_COLUMNS)
     return e.communication_features().join(e.recall_features(), C.COHORT_ID)
 
 

@@ -371,3 +371,35 @@ def test_feeds_share_lines_joined_once(spark, folder):
         assert rows.count() > 0 and rows.exceptAll(own).isEmpty() and own.exceptAll(rows).isEmpty()
     for rows in (evidence.communication_documents, evidence.communication_applications, evidence.campaigns):
         assert rows.inputFiles() and not [f for f in rows.inputFiles() if f.endswith(("lineitem.parquet", "orders.parquet"))]
+
+
+def test_links_and_signals_tell_what_documents_tell(spark, folder):
+    e = bindings.Evidence(spark, folder, event_columns=asof.EVENT_COLUMNS)
+    assert set(e.events.columns) == set(asof.EVENT_COLUMNS) and "p_name" not in e.lines.columns
+    documents = bindings.communications.documents(bindings.communication_rows(spark, folder))
+    signals = e.document_signals("date_added", "communication_type", "communication_date", "component_bits")
+    rows = documents.join(signals.withColumnsRenamed({n: f"s_{n}" for n in signals.columns}), F.col("source_id") == F.col("s_source_id"))
+    bits = sum(
+        (F.array_contains("canonical_components", n).cast("bigint") * F.lit(1 << i).cast("bigint") for i, n in enumerate(C.COMPONENTS)),
+        F.lit(0).cast("bigint"),
+    )
+    place = F.array_position(F.array(*[F.lit(n) for n in C.COMMUNICATION_TYPES]), F.col("communication_type")) - 1
+    same = (
+        F.col("date_added").eqNullSafe(F.col("s_date_added")) & F.col("communication_date").eqNullSafe(F.col("s_communication_date"))
+        & (place == F.col("s_communication_type")) & (bits == F.col("s_component_bits"))
+    )
+    assert rows.count() == documents.count() == signals.count() and rows.where(~same).isEmpty()
+    # Links name each document and cohort once, as matching every application does.
+    links = e.named(e.communication_pairs.withColumnRenamed("matched_broad_vehicle_id", C.COHORT_ID)).select("source_id", C.COHORT_ID)
+    every = e.communication_matches.where(F.col("matched_broad_vehicle_id").isNotNull()).select("source_id", "matched_broad_vehicle_id").distinct()
+    assert links.count() == every.count() and links.exceptAll(every).isEmpty()
+
+
+def test_signals_refuse_documents_whose_rows_disagree(spark):
+    names = ("source_id", *communications.METADATA)
+    rows = spark.createDataFrame(
+        [("1", "", "20200101", "d", "20200101", "", "Other", "a"), ("1", "", "20200101", "d", "20200101", "", "Other", "b")],
+        ", ".join(f"{n} string" for n in names),
+    )
+    with pytest.raises(Exception, match="document-level fields differ within document 1"):
+        communications.signals(rows, ["date_added"]).collect()
