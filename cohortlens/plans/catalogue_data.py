@@ -966,7 +966,7 @@ def asof_status(spark, folder):
 
 @register("feature_matrix", f"SELECT {pretty(C.FEATURE_COLUMNS)} FROM feat")
 def feature_matrix(spark, folder):
-    return B.Evidence(spark, folder).features()
+    return B.Evidence(spark, folder, event_columns=asof.EVENT_COLUMNS).features()
 
 
 @register(

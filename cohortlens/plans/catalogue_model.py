@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens import constants as C
 from cohortlens.functions import numbers
 from cohortlens.modeling import bootstrap, explain, importance, metrics, models, preprocess, report, results, split
+from cohortlens.operators import asof
 from cohortlens.plans import bindings as B
 from cohortlens.plans import sqlstages as X
 from cohortlens.plans.registry import num, register
@@ -28,7 +29,7 @@ def dataset(spark, folder) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _DATASETS:
-        evidence = B.Evidence(spark, folder)
+        evidence = B.Evidence(spark, folder, event_columns=asof.EVENT_COLUMNS)
         _TARGETS[key] = evidence.targets
         parts = split.stratified_split(evidence.targets, label=LABEL)
         _DATASETS[key] = stage(
