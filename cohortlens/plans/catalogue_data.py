@@ -774,18 +774,16 @@ def _temporal_sql():
 
 @register("temporal_feasibility", _temporal_sql())
 def temporal_feasibility(spark, folder):
-    e = B.Evidence(spark, folder)
+    e = B.Evidence(spark, folder, event_columns=(C.COHORT_ID, *C.KEY, "report_date"))
     gated = e.production.select(
         C.COHORT_ID,
         F.when(c("production_count").isNotNull(), c("production_reporting_periods")).alias("production_reporting_periods"),
     )
-    sent = integration.earliest_dates(
-        e.communication_links, e.document_facts("date_added"), "source_id", c("date_added")
-    )
+    sent = integration.earliest_dates(e.communication_pairs, e.document_signals("date_added"), "source_id", c("date_added"))
     called = integration.earliest_dates(
-        e.recall_links, e.campaign_facts("report_received_dates"), "campaign_number", F.array_min("report_received_dates")
+        e.recall_pairs, e.campaign_signals("first_report_date"), "campaign_number", c("first_report_date")
     )
-    return integration.temporal_feasibility(e.events, gated, sent, called, cutoffs=B.REVIEW_CUTOFFS)
+    return integration.temporal_feasibility(e.events, gated, e.named(sent), e.named(called), cutoffs=B.REVIEW_CUTOFFS)
 
 
 _PAIRS = [
