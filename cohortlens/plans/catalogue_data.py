@@ -657,8 +657,12 @@ _CROSS = (
 
 
 def _cross(spark, folder):
-    e = B.Evidence(spark, folder)
-    return matching.cross_source_coverage(e.recalls, e.production, e.communications, e.recalls)
+    e = B.Evidence(spark, folder, event_columns=(C.COHORT_ID, *C.KEY))
+    keys = e.numbered(e.keys)
+    sent = matching.document_counts(keys, e.communication_pairs, "source_id", "unique_communication_count", e.document_signals())
+    # A vehicle row has a value, so each linked campaign is one; nothing else of campaigns is read.
+    called = matching.document_counts(keys, e.recall_pairs, "campaign_number", "unique_recall_campaign_count")
+    return matching.cross_source_coverage(e.keys, e.production, e.named(sent), e.named(called))
 
 
 @register("cross_source_coverage", _CROSS)
