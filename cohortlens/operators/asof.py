@@ -110,8 +110,14 @@ def _document_features(
 
 
 #: Document and campaign columns that the features read.
-COMMUNICATION_FACTS = ("date_added", "communication_type", "component_bits")
-RECALL_FACTS = ("first_report_date", "component_bits", "has_rule", "has_stop", "has_park")
+COMMUNICATION_FACTS = ("date_added", "communication_type", "canonical_components")
+RECALL_FACTS = (
+    "report_received_dates", "canonical_components", "fmvss_numbers", "regulation_part_numbers", "do_not_drive_values",
+    "park_outside_values",
+)
+#: The same of their ``signals``.
+COMMUNICATION_SIGNALS = ("date_added", "communication_type", "component_bits")
+RECALL_SIGNALS = ("first_report_date", "component_bits", "has_rule", "has_stop", "has_park")
 #: Event columns that targets and features read.
 EVENT_COLUMNS = (
     C.COHORT_ID, *C.KEY, "report_date", "component", "severity", "mileage", "source_reference_id",
