@@ -101,7 +101,9 @@ def added_by_row(rows: DataFrame, table: DataFrame, walk: Callable, width: int,
     ``walk(broadcast nodes)`` makes a function of batches of (x, ...) that yields a ``(rows, width)`` block for each.
     """
     spark = rows.sparkSession
-    whole = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "forest-rows")
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    # A small table would come to one task, and a walk costs far more than the move of its rows.
+    whole = stage(numbered.repartition(spark.sparkContext.defaultParallelism, "_row"), "forest-rows")
     found: list[DataFrame] = []
     for nodes in shards(table, most):
         shared = spark.sparkContext.broadcast(nodes)

@@ -80,3 +80,16 @@ def test_contributions_do_not_depend_on_shards(spark, fitted):
     for i, r in small.items():
         assert r["contribution"] == pytest.approx(whole[i]["contribution"], abs=1e-12)
         assert r["baseline"] + sum(r["contribution"]) == pytest.approx(probability[i], abs=1e-12)
+
+
+def test_small_tables_are_walked_by_several_tasks(spark, fitted):
+    df, model = fitted
+    rows = df.coalesce(1).select(C.COHORT_ID, models.vector_to_array("features").alias("x"))
+
+    def walk(shared):
+        from pyspark import TaskContext
+
+        return lambda batch: np.full((len(batch), 1), float(TaskContext.get().partitionId()))
+
+    tasks = forest.added_by_row(rows, forest.node_table(model, spark), walk, 1).select("sums").distinct().count()
+    assert tasks > 1
