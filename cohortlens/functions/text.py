@@ -205,9 +205,12 @@ def yes_no(value: Column) -> Column:
 
 
 def compact_date(value: Column) -> Column:
-    """``YYYYMMDD`` to a date; null for any other text or an impossible day."""
-    day = F.when(matches(value, "[0-9]{8}"), F.try_to_date(value, "yyyyMMdd"))
-    return F.when(F.year(day) >= 1, day)
+    """``YYYYMMDD`` to a date; null for any other text or an impossible day.
+
+    ``value`` stands in it once, so that what makes it is not computed again. Text of another form becomes dashes alone.
+    """
+    dashed = F.regexp_replace(value, "(?s)\\A(?!0000)([0-9]{4})([0-9]{2})([0-9]{2})\\z|.+", "$1-$2-$3")
+    return dashed.try_cast("date")
 
 
 def model_year(value: Column) -> Column:

@@ -97,8 +97,8 @@ def signals(rows: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
 
     ``columns`` names what is wanted beside ``source_id``: ``date_added``, ``communication_date``, ``communication_type`` (its
     place in ``COMMUNICATION_TYPES``) and ``component_bits``. Every field is a number before rows move, so rows of a document
-    are combined where they are read, without sets; a document with very many rows sends one row a task. The guard is that
-    of ``documents``. The result lies by ``source_id``.
+    are combined where they are read, without sets; a document with very many rows sends one row a task. Rows may bring
+    ``component_bits`` in place of ``component``. The guard is that of ``documents``. The result lies by ``source_id``.
     """
     c = F.col
     places = {n: i for i, n in enumerate(C.COMMUNICATION_TYPES)}
@@ -111,7 +111,7 @@ def signals(rows: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
         ),
     }
     filled = rows.withColumns({n: F.coalesce(n, F.lit("")) for n in METADATA})
-    if "component_bits" in columns:
+    if "component_bits" in columns and "component_bits" not in rows.columns:
         filled = text.component_bits(filled, "component", "component_bits")
     # Days are read in a step of their own, once a row, before their range is checked; the rule is that of ``documents``.
     filled = filled.withColumns({f"_{n}": text.compact_date(c(days[n])) for n in columns if n in days})

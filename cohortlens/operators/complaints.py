@@ -9,12 +9,48 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions import identity, numbers, ordered, text
+from cohortlens.session import stage
 
 
 def _present_but(parsed: Column, source: Column) -> Column:
     return source.isNotNull() & parsed.isNull()
 
 
+def _identity(normalize: Callable[[Column], Column]) -> dict[str, Column]:
+    c = F.col
+    return {
+        "normalized_make": F.when(~text.is_blank(c("MAKETXT")), normalize(c("MAKETXT"))),
+        "normalized_model": F.when(~text.is_blank(c("MODELTXT")), normalize(c("MODELTXT"))),
+        "model_year": text.model_year(c("YEARTXT")),
+    }
+
+
+def with_labels(
+    raw: DataFrame, normalize: Callable[[Column], Column] = text.normalize_identity
+) -> DataFrame:
+    """``raw`` with what its labels tell: make, model, year, cohort id and component.
+
+    Labels are parsed once for each distinct product and component, not for each row. Both tables are staged, so Catalyst
+    sees their true size and picks the joins from that. ``map_complaints`` keeps the columns that it finds.
+    """
+    c = F.col
+
+    def joined(df: DataFrame, names: tuple[str, ...], parsed: DataFrame, label: str) -> DataFrame:
+        side = stage(parsed, label).withColumnsRenamed({n: f"_{n}" for n in names})
+        same = F.lit(True)
+        for n in names:
+            same = same & c(n).eqNullSafe(c(f"_{n}"))
+        return df.join(side, same).drop(*[f"_{n}" for n in names])
+
+    product = ("MAKETXT", "MODELTXT", "YEARTXT")
+    products = raw.select(*product).distinct().withColumns(_identity(normalize)).withColumn(
+        C.COHORT_ID, identity.association_id(c("normalized_make"), c("normalized_model"), c("model_year"))
+    )
+    components = raw.select("COMPDESC").distinct().withColumn("component", text.component(c("COMPDESC")))
+    out = joined(raw, product, products, "complaint-products")
+    return joined(out, ("COMPDESC",), components, "complaint-components")
+
+
 def map_complaints(
     raw: DataFrame, normalize: Callable[[Column], Column] = text.normalize_identity
 ) -> DataFrame:
@@ -25,11 +61,10 @@ def map_complaints(
     parsed column may differ from a source column by case alone.
     """
     c = F.col
+    known = {n: v for n, v in _identity(normalize).items() if n not in raw.columns}
     parsed = raw.withColumns(
         {
-            "normalized_make": F.when(~text.is_blank(c("MAKETXT")), normalize(c("MAKETXT"))),
-            "normalized_model": F.when(~text.is_blank(c("MODELTXT")), normalize(c("MODELTXT"))),
-            "model_year": text.model_year(c("YEARTXT")),
+            **known,
             "mileage": text.unsigned(c("MILES")),
             "death_count": text.unsigned(c("DEATHS")),
             "injury_count": text.unsigned(c("INJURED")),
@@ -80,7 +115,7 @@ def map_complaints(
     known = c("_transmission").isNotNull() & c("_drivetrain").isNotNull()
     return mapped.withColumns(
         {
-            "component": text.component(c("COMPDESC")),
+            "component": c("component") if "component" in raw.columns else text.component(c("COMPDESC")),
             "severity": text.severity(
                 c("death_count"), c("injury_count"), c("crash_observed"), c("fire_observed")
             ),
@@ -127,7 +162,7 @@ def clean_complaints(mapped: DataFrame) -> DataFrame:
         F.lit(C.EVENT_SOURCE_TYPE).alias("source_type"),
         c("CMPLID").alias("source_record_id"),
         c("ODINO").alias("source_reference_id"),
-        identity.association_id(
+        c(C.COHORT_ID) if C.COHORT_ID in mapped.columns else identity.association_id(
             c("normalized_make"), c("normalized_model"), c("model_year")
         ).alias(C.COHORT_ID),
         "known_configuration_id",
@@ -154,11 +189,13 @@ def clean_complaints(mapped: DataFrame) -> DataFrame:
 
 
 def clean_from_raw(
-    raw: DataFrame, normalize: Callable[[Column], Column] = text.normalize_identity
+    raw: DataFrame, normalize: Callable[[Column], Column] = text.normalize_identity, *, by_label: bool = False
 ) -> DataFrame:
     """Accepted rows only. The first check runs as a filter that reaches the scan, so rows
-    of other products are never parsed; the result is that of mapping every row."""
-    return clean_complaints(map_complaints(raw.where(F.col("PROD_TYPE") == "V"), normalize))
+    of other products are never parsed; the result is that of mapping every row. ``by_label`` parses each
+    distinct label once (``with_labels``), which reads ``raw`` three times."""
+    rows = raw.where(F.col("PROD_TYPE") == "V")
+    return clean_complaints(map_complaints(with_labels(rows, normalize) if by_label else rows, normalize))
 
 
 def excluded_complaints(mapped: DataFrame) -> DataFrame:

@@ -68,23 +68,24 @@ def match_applications(
 
 
 def document_links(
-    rows: DataFrame, document: str, product: Sequence[str], cohorts: DataFrame, normalize: Callable[[Column], Column],
+    rows: DataFrame, document: str, products: DataFrame, key: str, product: Sequence[str], cohorts: DataFrame,
+    normalize: Callable[[Column], Column],
 ) -> DataFrame:
     """Each document with each cohort that one of its products names, once: ``document`` and ``matched_broad_vehicle_id``.
 
-    ``product`` names the source columns of make, model and year. Labels are normalized and matched once for each distinct
-    product, not for each row: products are staged before, as a filter on normalized labels would else be pushed down to
-    the rows, and after, so Catalyst sees the true size of what it joins. The result lies by ``document``.
+    Rows name a product by its number ``key``; ``products`` has each number once, and ``product`` names its source columns of
+    make, model and year. So labels are made, normalized and matched once for each product, not for each row. Matches are
+    staged, so Catalyst sees the true size of what it joins. The result lies by ``document``.
     """
     c = F.col
     make, model, year = product
-    products = stage(rows.select(*product).distinct(), "products").select(
-        *product, normalize(c(make)).alias("normalized_make"), normalize(c(model)).alias("normalized_model"),
+    named = products.select(
+        key, normalize(c(make)).alias("normalized_make"), normalize(c(model)).alias("normalized_model"),
         text.model_year(c(year)).alias("model_year"),
     )
-    known = match_applications(products, cohorts).where(c("matched_broad_vehicle_id").isNotNull())
-    matched = stage(known.select(*product, "matched_broad_vehicle_id"), "product-matches")
-    found = rows.select(document, *product).join(matched, list(product)).select(document, "matched_broad_vehicle_id")
+    known = match_applications(named, cohorts).where(c("matched_broad_vehicle_id").isNotNull())
+    matched = stage(known.select(key, "matched_broad_vehicle_id"), "product-matches")
+    found = rows.select(document, key).join(matched, key).select(document, "matched_broad_vehicle_id")
     return found.repartition(document).distinct()
 
 

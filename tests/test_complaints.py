@@ -249,3 +249,25 @@ def test_event_stream(spark, tmp_path):
     )
     query.awaitTermination(120)
     assert spark.table("event_features_out").count() == 2
+
+
+def test_labels_parsed_once_tell_the_same(spark):
+    raw = complaints(
+        spark, {}, {"CMPLID": "2"}, {"CMPLID": "3", "MAKETXT": " QUILLON ", "COMPDESC": "TIRES"}, {"CMPLID": "4", "COMPDESC": ""},
+        {"CMPLID": "5", "MODELTXT": ""}, {"CMPLID": "6", "YEARTXT": "9999"}, {"CMPLID": "7", "PROD_TYPE": "T"}, {"CMPLID": "8", "YEARTXT": ""},
+        {"CMPLID": "9", "MAKETXT": "STRASSE \u00df"}, {"CMPLID": "10", "LDATE": "20230229"},
+    )
+    each, once = K.clean_from_raw(raw), K.clean_from_raw(raw, by_label=True)
+    assert each.columns == once.columns and once.count() == 5
+    assert each.exceptAll(once).isEmpty() and once.exceptAll(each).isEmpty()
+
+
+def test_compact_dates(spark):
+    days = {
+        "20200229": "2020-02-29", "00010101": "0001-01-01", "99991231": "9999-12-31", "20230229": None, "00000101": None, "": None,
+        "2020-01-01": None, "2020": None, "202001011": None, " 20200101": None, "20200101\n": None, "--": None, "20201301": None,
+        "\u0662\u0660\u0662\u0660\u0660\u0661\u0660\u0661": None,
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in days.items()] + [(None, None)], "value string, wanted string")
+    got = rows.select("value", "wanted", text.compact_date(F.col("value")).cast("string").alias("got")).collect()
+    assert [(r["value"], r["got"]) for r in got] == [(r["value"], r["wanted"]) for r in got]

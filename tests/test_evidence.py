@@ -395,6 +395,26 @@ def test_links_and_signals_tell_what_documents_tell(spark, folder):
     assert links.count() == every.count() and links.exceptAll(every).isEmpty()
 
 
+def test_lines_are_staged_once_by_product_number(spark, folder, tmp_path):
+    """Lines hold no labels, and lines without an order stay for the feeds that need none."""
+    for name in ("lineitem", "part", "orders"):
+        rows = spark.read.parquet(f"{folder}/{name}.parquet")
+        rows = rows.where("o_orderkey % 3 <> 0") if name == "orders" else rows
+        if name == "part":  # labels may be null
+            rows = rows.withColumn("p_type", F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    e = bindings.Evidence(spark, str(tmp_path), event_columns=asof.EVENT_COLUMNS)
+    assert "p_product" in e.product_lines.columns and not set(bindings.PRODUCT_COLUMNS) & set(e.product_lines.columns)
+    assert e.products.count() == e.products.select(*bindings.PRODUCT_COLUMNS).distinct().count()
+    for lines, orders in ((e.lines, False), (e.ordered_lines, True)):
+        own = bindings._lines(spark, str(tmp_path), orders=orders).select(*lines.columns)
+        assert lines.count() > 0 and lines.exceptAll(own).isEmpty() and own.exceptAll(lines).isEmpty()
+    assert e.lines.count() > e.ordered_lines.count()
+    signals = e.document_signals("date_added", "component_bits")
+    own = bindings.communications.signals(bindings.communication_rows(spark, str(tmp_path)), ["date_added", "component_bits"])
+    assert signals.count() > 0 and signals.exceptAll(own).isEmpty() and own.exceptAll(signals).isEmpty()
+
+
 def test_signals_refuse_documents_whose_rows_disagree(spark):
     names = ("source_id", *communications.METADATA)
     rows = spark.createDataFrame(
