@@ -87,15 +87,23 @@ def _packing(size: int, most: int):
     return pack
 
 
-def _percentiles(long: DataFrame | None, names: Sequence[str], spark: SparkSession) -> DataFrame:
-    """2.5 and 97.5 percentiles of ``value`` per metric over the resamples; one without a value has null bounds."""
+def _percentiles(
+    long: DataFrame | None, names: Sequence[str], spark: SparkSession, scores: Sequence[str] = ()
+) -> DataFrame:
+    """2.5 and 97.5 percentiles of ``value`` per metric over the resamples; one without a value has null bounds.
+
+    ``scores`` are the values of ``model`` where each has percentiles of its own.
+    """
+    keys = ["model", "metric"] if scores else ["metric"]
     every = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("metric"))
+    if scores:
+        every = every.select(F.explode(F.array(*[F.lit(s) for s in scores])).alias("model"), "metric")
     if long is None:
         none = F.lit(None).cast("double")
-        return every.select("metric", none.alias("lower_95"), none.alias("upper_95"), F.lit(0).cast("long").alias("valid_samples"))
-    q = ordered.quantiles(long, ["metric"], {"v": F.col("value")}, [0.025, 0.975])
-    return every.join(q, "metric", "left").select(
-        "metric",
+        return every.select(*keys, none.alias("lower_95"), none.alias("upper_95"), F.lit(0).cast("long").alias("valid_samples"))
+    q = ordered.quantiles(long, keys, {"v": F.col("value")}, [0.025, 0.975])
+    return every.join(q, keys, "left").select(
+        *keys,
         F.col("q")[0].alias("lower_95"),
         F.col("q")[1].alias("upper_95"),
         F.coalesce("n", F.lit(0)).alias("valid_samples"),
@@ -303,12 +311,26 @@ def bootstrap_intervals(
     return found if whole else found.where("valid_samples > 0")
 
 
+def resamples(df: DataFrame, scores: Sequence[str], *, samples: int = C.BOOTSTRAP_SAMPLES, seed: int = C.SEED) -> DataFrame | None:
+    """The metrics of every resample and score column, staged for several readers; None without rows."""
+    table = _resampled(df, scores, samples, seed)
+    return None if table is None else stage(table, "bootstrap-resamples")
+
+
+def model_intervals(
+    drawn: DataFrame | None, scores: Sequence[str], spark: SparkSession, names: Sequence[str] = M.METRICS
+) -> DataFrame:
+    """`bootstrap_intervals` of each score column of ``resamples``; every metric has its row."""
+    long = None if drawn is None else _long(drawn, ["sample", "model"], names)
+    return _percentiles(long, names, spark, scores)
+
+
 def paired_bootstrap(
-    pairs: DataFrame, *, samples: int = C.BOOTSTRAP_SAMPLES, seed: int = C.SEED
+    pairs: DataFrame, *, samples: int = C.BOOTSTRAP_SAMPLES, seed: int = C.SEED, drawn: DataFrame | None = None
 ) -> DataFrame:
     """Observed right-minus-left difference and its interval, both on the same draws.
 
-    ``pairs`` is the output of ``metrics.paired``.
+    ``pairs`` is the output of ``metrics.paired``; ``drawn`` holds its `resamples` where a caller has them already.
     """
     rows = pairs.withColumn(M.LABEL, F.col("y_left").cast("int"))
     sides = ["p_left", "p_right"]
@@ -320,7 +342,7 @@ def paired_bootstrap(
         )
         return long.groupBy(*keys, "metric").agg(value.alias("value"))
 
-    table = _resampled(rows, sides, samples, seed)
+    table = _resampled(rows, sides, samples, seed) if drawn is None else drawn
     resampled = None if table is None else differences(table, ["sample"])
     both = rows.select(
         M.LABEL,
@@ -332,16 +354,21 @@ def paired_bootstrap(
     ).select("metric", "observed_difference", "lower_95", "upper_95", "valid_samples")
 
 
-def critical_intervals(df: DataFrame, *, samples: int = C.BOOTSTRAP_SAMPLES, seed: int = C.SEED) -> DataFrame:
-    """Intervals for the two weak subgroups, each with its own seed; an empty one has null bounds."""
+def critical_intervals(
+    df: DataFrame, *, samples: int = C.BOOTSTRAP_SAMPLES, seed: int = C.SEED, scores: Sequence[str] = ()
+) -> DataFrame:
+    """Intervals for the two weak subgroups, each with its own seed; an empty one has null bounds.
+
+    Several ``scores`` share the draws, and ``model`` tells whose the intervals are.
+    """
     groups = {
         "support_1": F.col("historical_complaint_count") == 1,
         "age_21_plus": F.col("cohort_age_at_cutoff") >= 21,
     }
-    out = None
+    out, names = None, ("recall", "f1", "roc_auc")
     for offset, (name, rule) in enumerate(groups.items()):
-        part = bootstrap_intervals(
-            df.where(rule), samples=samples, seed=seed + offset, names=("recall", "f1", "roc_auc"), whole=True
-        ).select(F.lit(name).alias("subgroup"), "*")
+        table = _resampled(df.where(rule), scores or [M.SCORE], samples, seed + offset)
+        long = None if table is None else _long(table, ["sample", "model"], names)
+        part = _percentiles(long, names, df.sparkSession, scores).select(F.lit(name).alias("subgroup"), "*")
         out = part if out is None else out.unionByName(part)
     return out

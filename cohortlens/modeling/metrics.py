@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions import numbers, ordered
-from cohortlens.operators import guards
+from cohortlens.operators import guards, statistics
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "brier_score")
 ID, LABEL, SCORE = "cohort_id", "target", "probability"
@@ -227,8 +227,8 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(gap) / F.sum("row_count")).alias("expected_calibration_error"))
 
 
-def error_analysis(df: DataFrame) -> DataFrame:
-    """Rows per error category and dimension value, with the high-confidence errors."""
+def error_analysis(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Rows per group, error category and dimension value, with the high-confidence errors."""
     c = F.col
     category = F.concat(
         F.when(c(LABEL).cast("int") == c("predicted_class"), "true_").otherwise("false_"),
@@ -248,10 +248,11 @@ def error_analysis(df: DataFrame) -> DataFrame:
     }
     pairs = [_pair("dimension", k, "value", v) for k, v in dimensions.items()]
     long = df.select(
+        *groups,
         F.explode(F.array_compact(F.array(category, confident))).alias("category"),
         F.array(*pairs).alias("d"),
-    ).select("category", F.explode("d").alias("d"))
-    return long.groupBy("category", "d.dimension", "d.value").agg(F.count("*").alias("rows"))
+    ).select(*groups, "category", F.explode("d").alias("d"))
+    return long.groupBy(*groups, "category", "d.dimension", "d.value").agg(F.count("*").alias("rows"))
 
 
 def paired(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -276,14 +277,17 @@ def misaligned(pairs: DataFrame) -> DataFrame:
 
 
 def agreement(pairs: DataFrame) -> DataFrame:
-    """Class agreement, score correlation and who is right (one row)."""
+    """Class agreement, score correlation and who is right (one row).
+
+    Without rows there is no agreement rate, and no correlation where one model gives all rows the same score: null.
+    """
     c = F.col
     y = c("y_left").cast("int") == 1
     a, b = c("p_left") >= C.THRESHOLD, c("p_right") >= C.THRESHOLD
     right_a, right_b = a == y, b == y
     return pairs.agg(
-        (F.count_if(a == b) / F.count("*")).alias("class_agreement_rate"),
-        F.corr("p_left", "p_right").alias("probability_correlation"),
+        F.try_divide(F.count_if(a == b), F.count("*")).alias("class_agreement_rate"),
+        statistics.pearson("p_left", "p_right").alias("probability_correlation"),
         F.count_if(right_a & right_b).alias("both_correct"),
         F.count_if(right_a & ~right_b).alias("left_only_correct"),
         F.count_if(~right_a & right_b).alias("right_only_correct"),

@@ -1,8 +1,9 @@
 """The evaluation report of two fitted models on the same rows, as one long table.
 
 Both models' scores are staged once, beside the groups that the report needs. One aggregate over grouping sets counts
-the scores of every model and group; all metrics, calibration bins and thresholds follow from these counts, the
-intervals from `bootstrap`.
+the scores of every model and group; all metrics, calibration bins and thresholds follow from these counts. Both models
+are resampled on the same draws, and all intervals and differences follow from the staged resamples. Each part is staged
+by itself, so that the driver never plans and runs the whole report as one query.
 """
 
 from __future__ import annotations
@@ -94,19 +95,22 @@ def evaluation(left: DataFrame, right: DataFrame, names: tuple[str, str], *, sam
     swept = M.thresholds_of_histogram(whole, ["model"])
     parts.append(_long("threshold", swept, c("model"), c("threshold").cast("string"), ["predicted_positive_prevalence", "precision", "recall", "f1", "tn", "fp", "fn", "tp"]))
 
-    for name in names:
-        own = scores.where(c("model") == name)
-        parts.append(_long("interval", bootstrap.bootstrap_intervals(own, samples=samples, seed=seed, whole=True), F.lit(name), c("metric"), ["lower_95", "upper_95", "valid_samples"]))
-        weak = bootstrap.critical_intervals(own, samples=samples, seed=seed)
-        parts.append(_long("interval", weak, F.lit(name), F.concat_ws(":", "subgroup", "metric"), ["lower_95", "upper_95", "valid_samples"]))
-        parts.append(_long("errors", M.error_analysis(own), F.lit(name), F.concat_ws(":", "category", "dimension", "value"), ["rows"]))
+    parts.append(_long("errors", M.error_analysis(scores, ["model"]), c("model"), F.concat_ws(":", "category", "dimension", "value"), ["rows"]))
+
+    sides, bounds = ("p_left", "p_right"), ["lower_95", "upper_95", "valid_samples"]
+    side = F.when(c("model") == sides[0], names[0]).otherwise(names[1])
+    labelled = pairs.withColumn(M.LABEL, c("y_left").cast("int"))
+    drawn = bootstrap.resamples(labelled, sides, samples=samples, seed=seed)
+    parts.append(_long("interval", bootstrap.model_intervals(drawn, sides, pairs.sparkSession), side, c("metric"), bounds))
+    weak = bootstrap.critical_intervals(labelled, samples=samples, seed=seed, scores=sides)
+    parts.append(_long("interval", weak, side, F.concat_ws(":", "subgroup", "metric"), bounds))
     both = F.lit(f"{names[1]} - {names[0]}")
-    paired = bootstrap.paired_bootstrap(pairs, samples=samples, seed=seed)
+    paired = bootstrap.paired_bootstrap(pairs, samples=samples, seed=seed, drawn=drawn)
     parts.append(_long("difference", paired, both, c("metric"), ["observed_difference", "lower_95", "upper_95", "valid_samples"]))
     agreed = M.agreement(pairs)
     parts.append(_long("agreement", agreed, both, F.lit("all"), agreed.columns))
     parts.append(_long("disagreements", M.disagreements(pairs), both, F.concat_ws(":", "dimension", "value"), ["rows"]))
-    out = parts[0]
-    for part in parts[1:]:
+    out, *rest = [stage(part.select(*COLUMNS), "report-part") for part in parts]
+    for part in rest:
         out = out.unionByName(part)
-    return out.select(*COLUMNS)
+    return out

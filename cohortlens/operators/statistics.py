@@ -45,6 +45,14 @@ def distributions(
     return base.join(exact, keys, "left")
 
 
+def pearson(left: str, right: str) -> Column:
+    """Aggregate over complete pairs of doubles; null when a side does not vary, where ``F.corr`` stops the run."""
+    whole = F.col(left).isNotNull() & F.col(right).isNotNull()
+    x, y = F.when(whole, F.col(left)), F.when(whole, F.col(right))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def correlation(df: DataFrame, left: str, right: str) -> DataFrame:
     """Pearson and Spearman over complete pairs; null when a side does not vary.
 
@@ -62,7 +70,7 @@ def correlation(df: DataFrame, left: str, right: str) -> DataFrame:
     linear = pairs.agg(
         F.count("*").alias("n"),
         ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"),
-        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"),
+        pearson("x", "y").alias("r"),
     )
     w, x, y = c("w"), c("rx"), c("ry")
     rank_sums = ranked.agg(
@@ -76,7 +84,7 @@ def correlation(df: DataFrame, left: str, right: str) -> DataFrame:
         F.lit(left).alias("left"),
         F.lit(right).alias("right"),
         n.alias("pair_count"),
-        F.when(c("varies"), c("r")).alias("pearson"),
+        c("r").alias("pearson"),
         F.when(c("varies"), covariance / spread).alias("spearman"),
     )
 

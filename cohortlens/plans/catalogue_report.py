@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.modeling import metrics, models
-from cohortlens.operators import asof, communications, complaints, exposure, integration, matching
+from cohortlens.operators import asof, communications, complaints, exposure, integration, matching, statistics
 from cohortlens.plans import bindings as B
 from cohortlens.plans import catalogue_model
 from cohortlens.plans import sqltext as S
@@ -70,7 +70,7 @@ def target_correlations(spark, folder):
     long = rows.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("measure"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in _PAIRS
     ])).alias("p")).select("p.*")
-    return long.groupBy("measure").agg(F.count("x").alias("cohorts"), F.corr("x", "y").alias("correlation"))
+    return long.groupBy("measure").agg(F.count("x").alias("cohorts"), statistics.pearson("x", "y").alias("correlation"))
 
 
 @register("communication_type_counts", "SELECT communication_type, count(*) AS documents FROM docs GROUP BY 1")

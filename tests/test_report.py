@@ -64,6 +64,28 @@ def test_report_equals_its_parts(spark):
         report.evaluation(left, right.where("cohort_id != 'c1'"), NAMES, samples=2).collect()
 
 
+def test_a_constant_score_has_no_correlation(spark):
+    left, right = predictions(spark)
+    constant = left.withColumn("probability", F.lit(1.0)).withColumn("predicted_class", F.lit(1))
+    table = {tuple(r)[:4]: r["value"] for r in report.evaluation(constant, right, NAMES, samples=5).collect()}
+    assert table["agreement", "two - one", "all", "probability_correlation"] is None
+    assert table["interval", "one", "brier_score", "valid_samples"] == 5
+    counts = [table["agreement", "two - one", "all", n] for n in ("both_correct", "left_only_correct", "right_only_correct", "both_incorrect")]
+    assert sum(counts) == 90
+    nothing = metrics.agreement(metrics.paired(left, right).where("false")).first()
+    assert nothing["class_agreement_rate"] is None and nothing["probability_correlation"] is None and nothing["both_correct"] == 0
+
+
+def test_report_is_run_in_parts(spark, monkeypatch):
+    """No resample is drawn twice for two models, and the plan that is left reads staged parts alone."""
+    drawn = []
+    monkeypatch.setattr(bootstrap, "draws", lambda *a, real=bootstrap.draws: drawn.append(a[1:]) or real(*a))
+    out = report.evaluation(*predictions(spark), NAMES, samples=4)
+    assert len(drawn) == len(set(drawn)) == 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "InArrow" not in plan
+
+
 def dataset(spark, n=120):
     rng = np.random.default_rng(3)
     rows = [
